@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, rules, simhash
+from . import bpe, chat, decontam, lines, rules, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,19 @@ def vocabulary() -> str:
     return os.path.join(folder, "word_bpe_49k.json")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document after line deduplication: its lines before and after, and a digest of its text."""
+    docs = table(spark, sf_dir, "documents")
+    before = F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines")
+    out = lines.dedup_lines(docs.select("doc_id", before, "text"))
+    return out.select(
+        "doc_id",
+        "n_lines",
+        F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars_left"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),
+    )
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.rules(table(spark, sf_dir, "documents"))
 
@@ -56,7 +69,12 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_simhash_near_dedup, op6_chat_formatting, op9_bpe)}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passages of documents that align with benchmark items."""
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_quality_rules, op4_simhash_near_dedup, op6_chat_formatting, op9_bpe, op10_decontamination)}
 
 SQL = {
     "op3_quality_rules": r"""
