@@ -62,20 +62,22 @@ def best_paths(nodes: DataFrame, top: int = 1) -> DataFrame:
     base = nodes.select("tree", "node", "parent", "score")
     known = base.select("tree", F.col("node").alias("parent")).withColumn("has", F.lit(True))
     links = base.join(known, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("has"), F.col("parent")).alias("jump"), "score")
-    hops = [staged(links.select("tree", "node", "jump", F.lit(1).cast("long").alias("steps"), F.col("score").cast("double").alias("total")), "hops-0")]
-    limit = hops[0].count()
-    while hops[-1].filter("jump IS NOT NULL").limit(1).count() and 2 ** (len(hops) - 1) <= limit:
-        now = hops[-1]
-        far = now.select("tree", F.col("node").alias("jump"), F.col("jump").alias("jump2"), F.col("steps").alias("s2"), F.col("total").alias("t2"))
-        now = now.join(far, ["tree", "jump"], "left").select(
+    start = links.select("tree", "node", "jump", F.lit(1).cast("long").alias("steps"), F.col("score").cast("double").alias("total"))
+    now = staged(start, "hops-0")
+    # Only nodes that have not reached their root take part in the next join.
+    ends, hops, limit = now.filter("jump IS NULL"), [now.filter("jump IS NOT NULL")], now.count()
+    while not hops[-1].isEmpty() and 2 ** (len(hops) - 1) <= limit:
+        far = hops[-1].unionByName(ends).toDF("tree", "jump", "jump2", "steps2", "total2")
+        now = hops[-1].join(far, ["tree", "jump"]).select(
             "tree",
             "node",
             F.col("jump2").alias("jump"),
-            (F.col("steps") + F.coalesce("s2", F.lit(0))).alias("steps"),
-            (F.col("total") + F.coalesce("t2", F.lit(0.0))).alias("total"),
+            (F.col("steps") + F.col("steps2")).alias("steps"),
+            (F.col("total") + F.col("total2")).alias("total"),
         )
-        hops.append(staged(now, f"hops-{len(hops)}"))
-    ends = hops[-1].filter("jump IS NULL")
+        now = staged(now, f"hops-{len(hops)}")
+        ends = ends.unionByName(now.filter("jump IS NULL"))
+        hops.append(now.filter("jump IS NOT NULL"))
     parents = links.filter("jump IS NOT NULL").select("tree", F.col("jump").alias("node")).distinct()
     leaves = ends.join(parents, ["tree", "node"], "left_anti")
     order = Window.partitionBy("tree").orderBy(F.desc(F.col("total") / F.col("steps")), F.desc("steps"), "node")
@@ -83,8 +85,8 @@ def best_paths(nodes: DataFrame, top: int = 1) -> DataFrame:
     path = chosen.select("tree", F.col("node").alias("leaf"), "rank", "node")
     # A node is 2^k steps over another for each k in the binary form of their distance:
     # going through the pointers from far to near, each adds the other half of the path.
-    for hop in reversed(hops):
-        up = hop.filter("jump IS NOT NULL").select("tree", "node", "jump")
+    for hop in reversed(hops[:-1]):
+        up = hop.select("tree", "node", "jump")
         path = path.unionByName(path.join(up, ["tree", "node"]).select("tree", "leaf", "rank", F.col("jump").alias("node")))
         path = staged(path.distinct(), "path")
     depths = ends.select("tree", "node", F.col("steps").alias("depth"))
