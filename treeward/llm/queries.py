@@ -8,7 +8,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, lines, rules, simhash
+from . import bpe, chat, decontam, html, langid, licenses, lines, quality, rules, simhash
+from .common import crc32_mod
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +24,12 @@ def vocabulary() -> str:
     return os.path.join(folder, "word_bpe_49k.json")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality, learned from the labels that are not held out."""
+    found = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), crc32_mod("doc_id", 5) != 0)
+    return found.select("doc_id", (crc32_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document after line deduplication: its lines before and after, and a digest of its text."""
     docs = table(spark, sf_dir, "documents")
@@ -44,6 +51,14 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from documents that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.filter(crc32_mod("doc_id", 4) != 2))
+    found = langid.identify(docs, model)
+    return found.select("doc_id", (crc32_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = "\\\\### Assistant: </turn> ok"
@@ -65,6 +80,17 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article of every page."""
+    found = html.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The license notices in documents."""
+    return licenses.license_spans(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -74,7 +100,21 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_quality_rules, op4_simhash_near_dedup, op6_chat_formatting, op9_bpe, op10_decontamination)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_classifier,
+        op2_line_dedup,
+        op3_quality_rules,
+        op4_simhash_near_dedup,
+        op5_language_id,
+        op6_chat_formatting,
+        op7_html_extraction,
+        op8_license_scan,
+        op9_bpe,
+        op10_decontamination,
+    )
+}
 
 SQL = {
     "op3_quality_rules": r"""
