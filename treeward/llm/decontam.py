@@ -2,8 +2,9 @@
 
 The corpus is read once for each block of benchmark items; a text's n-grams that a
 block's items have give passages around the places where an item may lie. How often
-each n-gram occurs is then counted over all passages, the rarer half of each item's
-n-grams are its seeds, and passages with a seed are aligned with the item.
+each n-gram occurs is then counted over all passages, the rarer part of each item's
+n-grams are its seeds, and passages with a seed, or with several n-grams of the item,
+are aligned with it.
 """
 
 from __future__ import annotations
@@ -156,15 +157,17 @@ def contaminated(
     words = staged(item_words(items, text=text), "items")
     grams = staged(item_grams(words, n), "grams")
     found = staged(passages(docs, grams, doc_id, text, block_grams), "passages")
-    # Rare n-grams: the half of an item's own that the corpus has least.
+    # Rare n-grams: the three quarters of an item's own that the corpus has least. An
+    # edited copy may have lost just these, if whole copies have them: so several
+    # n-grams of an item at one place are as good as a rare one.
     seen = found.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("times"))
     own = grams.select("item_id", "gram").distinct().join(seen, "gram", "left")
     by_item = Window.partitionBy("item_id")
     order = by_item.orderBy(F.coalesce("times", F.lit(0)), "gram")
     ranked = own.withColumns({"rank": F.row_number().over(order), "all": F.count("*").over(by_item)})
-    seeds = ranked.filter("2 * rank <= all + 1").groupBy("item_id").agg(F.collect_list("gram").alias("seeds"))
+    seeds = ranked.filter("4 * rank <= 3 * all + 1").groupBy("item_id").agg(F.collect_list("gram").alias("seeds"))
     seeds = seeds.join(words, "item_id")
-    pairs = found.join(seeds, "item_id").filter(F.arrays_overlap("grams", "seeds")).select("doc_id", "item_id", "at", "passage", "words")
+    pairs = found.join(seeds, "item_id").filter(F.arrays_overlap("grams", "seeds") | (F.size("grams") > 1)).select("doc_id", "item_id", "at", "passage", "words")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
