@@ -78,11 +78,11 @@ def best_paths(nodes: DataFrame, top: int = 1) -> DataFrame:
         now = staged(now, f"hops-{len(hops)}")
         ends = ends.unionByName(now.filter("jump IS NULL"))
         hops.append(now.filter("jump IS NOT NULL"))
-    parents = links.filter("jump IS NOT NULL").select("tree", F.col("jump").alias("node")).distinct()
+    parents = hops[0].select("tree", F.col("jump").alias("node")).distinct()
     leaves = ends.join(parents, ["tree", "node"], "left_anti")
     order = Window.partitionBy("tree").orderBy(F.desc(F.col("total") / F.col("steps")), F.desc("steps"), "node")
     chosen = leaves.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
-    path = chosen.select("tree", F.col("node").alias("leaf"), "rank", "node")
+    path = staged(chosen.select("tree", F.col("node").alias("leaf"), "rank", "node"), "chosen")
     # A node is 2^k steps over another for each k in the binary form of their distance:
     # going through the pointers from far to near, each adds the other half of the path.
     for hop in reversed(hops[:-1]):
