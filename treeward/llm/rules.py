@@ -87,9 +87,10 @@ def host_verdicts(scored: DataFrame, host: str = "source", max_rate: float = 0.5
     The prior is beta with the mean of all documents' failures and the strength that
     the spread of the hosts' rates beyond chance leaves, by moments: hosts that hardly
     differ pull each other to the mean, and a host with few documents says little.
-    ``host_failed`` if the shrunk rate is over ``max_rate``.
+    ``host_failed`` if the shrunk rate is over ``max_rate``. The driver gets the two numbers of the prior.
     """
     hosts = scored.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("fails"))
+    hosts = staged(hosts, "hosts")
     rate = F.col("fails") / F.col("n")
     sums = hosts.agg(
         F.sum("n").alias("docs"),
@@ -100,32 +101,33 @@ def host_verdicts(scored: DataFrame, host: str = "source", max_rate: float = 0.5
     mean = F.col("failed") / F.col("docs")
     chance = mean * (1 - mean) * F.col("hosts") / F.col("docs")
     beyond = F.greatest(F.col("squares") / F.col("docs") - mean * mean - chance, F.lit(1e-6))
-    prior = sums.select(
-        F.coalesce(mean, F.lit(0.0)).alias("mean"),
-        F.coalesce(F.greatest(mean * (1 - mean) / beyond - 1, F.lit(1.0)), F.lit(1.0)).alias("strength"),
-    )
-    one = F.lit(1)
-    shrunk = (F.col("fails") + F.col("mean") * F.col("strength")) / (F.col("n") + F.col("strength"))
-    hosts = hosts.withColumn("_one", one).join(prior.withColumn("_one", one), "_one").drop("_one")
+    prior = sums.select(mean.alias("mean"), F.greatest(mean * (1 - mean) / beyond - 1, F.lit(1.0)).alias("strength")).first()
+    mean, strength = (F.lit(float(x or 0.0)) for x in (prior["mean"], prior["strength"]))
+    shrunk = (F.col("fails") + mean * strength) / (F.col("n") + strength)
     return hosts.select("host", "n", "fails", shrunk.alias("host_rate"), (shrunk > max_rate).alias("host_failed"))
 
 
-def judged(scored: DataFrame, host: str = "source", max_rate: float = 0.5) -> DataFrame:
+def judged(scored: DataFrame, verdicts: DataFrame, host: str = "source") -> DataFrame:
     """``scored`` rows, which have ``base_failed``, with the column ``kept``.
 
     Not kept if the document failed by itself or its host did. A null host is a host
-    of its own. Staged first, as the rows are read for the hosts and for the verdict.
+    of its own.
     """
-    scored = staged(scored, "scored")
-    verdicts = host_verdicts(scored, host, max_rate).select(F.col("host").alias("_tw_host"), F.col("host_failed").alias("_tw_failed"))
+    verdicts = verdicts.select(F.col("host").alias("_tw_host"), F.col("host_failed").alias("_tw_failed"))
     joined = scored.join(verdicts, F.col(host).eqNullSafe(F.col("_tw_host")), "left")
     return joined.withColumn("kept", ~F.col("base_failed") & ~F.col("_tw_failed")).drop("_tw_host", "_tw_failed")
 
 
 def keep_passing(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, columns and texts unchanged."""
+    """The documents that are kept, columns and texts unchanged.
+
+    The texts are counted twice, once for the hosts and once for the documents: that
+    costs less than writing the texts down with their counts.
+    """
     own = docs.select(*(F.col(c).alias(f"_tw_own_{c}") for c in docs.columns), "text", "source")
-    kept = judged(with_stats(own)).filter("kept")
+    scored = with_stats(own)
+    verdicts = host_verdicts(scored.select("source", "base_failed"))
+    kept = judged(scored, verdicts).filter("kept")
     return kept.select(*(F.col(f"_tw_own_{c}").alias(c) for c in docs.columns))
 
 
@@ -136,4 +138,5 @@ def rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str
     and counted each for their host; other columns are ignored; empty in, empty out.
     """
     rows = with_stats(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(host).alias("source")))
-    return judged(rows.drop("text")).select("doc_id", *STATS, "base_failed", "kept")
+    scored = staged(rows.drop("text"), "scored")
+    return judged(scored, host_verdicts(scored)).select("doc_id", *STATS, "base_failed", "kept")
