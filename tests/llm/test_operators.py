@@ -149,9 +149,8 @@ def test_lines(spark):
 
 
 def slow_line(line):
-    words = set(line.lower().split())
-    hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in words]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    hashes = [(xxhash.xxh64_intdigest(w.encode(), 42), max(1, min(len(w), 8) ** 2 // 4)) for w in set(line.lower().split())]
+    return sum(1 << b for b in range(64) if 2 * sum((h >> b & 1) * w for h, w in hashes) > sum(w for _, w in hashes))
 
 
 def edit_distance(a, b):

@@ -1,9 +1,9 @@
 """Fuzzy line deduplication.
 
 Lines are lower-cased, freed of common punctuation and cut into words. A line's
-SimHash comes from sums over its words, with the sums of three bits side by side in
-one long; lines whose fingerprints share pigeonhole blocks are compared by edit
-distance; of each connected group one occurrence stays. All of it is DataFrame
+SimHash comes from sums over its different words, with the sums of three bits side by
+side in one long; lines whose fingerprints share pigeonhole blocks are compared by the
+edit distance of their words; of each connected group one occurrence stays. All of it is DataFrame
 functions.
 """
 
@@ -18,11 +18,11 @@ from .common import let, staged
 from .rules import without
 from .simhash import BITS, near_components
 
-#: Three counters of 22 bits in a long, so up to a million words a line.
+#: Three counters of 20 bits or more in a long: they hold 65,000 different words of full weight a line.
 LANES = 22
 EVERY = sum(1 << (LANES * k) for k in range(3))
 PUNCTUATION = ".,;:!?|*#$%&"
-#: How many ids may be sent to every executor; with more, Spark shuffles.
+#: How many numbers may be sent to every executor (16 MB or so); with more, Spark shuffles.
 SMALL = 1_000_000
 
 
@@ -36,16 +36,19 @@ def plain(text: Column) -> Column:
     return without(without(F.lower(F.coalesce(text, F.lit(""))), PUNCTUATION), "\t\r", " ")
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """A broadcast hint, if a count says that the rows are few."""
-    return F.broadcast(df) if df.count() <= SMALL else df
+def bounded(df: DataFrame, numbers: Column | None = None) -> DataFrame:
+    """A broadcast hint, if a count says that the rows are few; ``numbers`` is what a row counts for, 1 without it."""
+    size = df.agg(F.sum(F.lit(1) if numbers is None else numbers)).first()[0] or 0
+    return F.broadcast(df) if size <= SMALL else df
 
 
 def line_prints(rows: DataFrame, min_words: int) -> DataFrame:
     """``(doc_id, rid, line, key, fp)`` of all lines with ``min_words`` words or more.
 
     ``rows`` has ``doc_id, rid, text``. ``key`` is the hash of the words, ``fp`` has a
-    bit where more than half of the hashes of the line's different words have it.
+    bit where words of more than half the weight have it in their hashes. Each different
+    word weighs a quarter of the square of its length, up to 8 letters: short words are
+    in most lines of a language and would make them all alike.
     """
     # Outer explodes: a plain one has its array computed once more, for a filter below it.
     lines = rows.select("doc_id", "rid", F.posexplode_outer(F.split(plain(F.col("text")), "\n")).alias("line", "norm"))
@@ -53,9 +56,11 @@ def line_prints(rows: DataFrame, min_words: int) -> DataFrame:
     # The key is made below the second explode, or it would be made for each word.
     lines = lines.select("doc_id", "rid", "line", F.xxhash64(words).alias("key"), F.size(words).alias("words"), F.array_distinct(words).alias("set"))
     lines = lines.select("doc_id", "rid", "line", "key", "words", F.explode_outer("set").alias("word"))
-    lines = lines.select("doc_id", "rid", "line", "key", "words", F.xxhash64("word").alias("h"))
-    sums = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(EVERY))).alias(f"s{j}") for j in range(LANES)]
-    sums = lines.groupBy("doc_id", "rid", "line", "key").agg(F.count("*").alias("n"), F.max("words").alias("words"), *sums)
+    letters = F.least(F.length("word"), F.lit(8)).cast("long")
+    weight = F.greatest(F.shiftright(letters * letters, 2), F.lit(1))
+    lines = lines.select("doc_id", "rid", "line", "key", "words", F.xxhash64("word").alias("h"), weight.alias("w"))
+    sums = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(EVERY)) * F.col("w")).alias(f"s{j}") for j in range(LANES)]
+    sums = lines.groupBy("doc_id", "rid", "line", "key").agg(F.sum("w").alias("n"), F.max("words").alias("words"), *sums)
     sums = sums.filter(F.col("words") >= min_words)
     ones = lambda j: F.shiftrightunsigned(F.col(f"s{j % LANES}"), LANES * (j // LANES)).bitwiseAND(F.lit((1 << LANES) - 1))
     bit = lambda j: F.when(2 * ones(j) > F.col("n"), F.lit((1 << j) - (1 << 64) * (j == 63))).otherwise(F.lit(0))
@@ -63,8 +68,14 @@ def line_prints(rows: DataFrame, min_words: int) -> DataFrame:
     return sums.select("doc_id", "rid", "line", "key", fp.alias("fp"))
 
 
+def spelled(words: Column) -> Column:
+    """The words as a string with one character for each, by hash among 51,200, so that edits of it are edits of words."""
+    code = lambda w: F.hex(F.pmod(F.xxhash64(w), F.lit(0xC800)) + F.lit(0x1000))
+    return F.decode(F.unhex(F.array_join(F.transform(words, code), "")), "UTF-16BE")
+
+
 def similar(rows: DataFrame, nodes: DataFrame, least: float):
-    """A check of pairs ``(a, b)`` of line keys by edit similarity, 1 - distance / longer length."""
+    """A check of pairs ``(a, b)`` of line keys by edit similarity, 1 - distance / longer length, over words."""
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = staged(pairs, "candidates")
@@ -72,11 +83,10 @@ def similar(rows: DataFrame, nodes: DataFrame, least: float):
         want = staged(nodes.join(ids, "id", "left_semi").select("id", "first.rid", "first.line"), "wanted")
         texts = rows.select("rid", "text").join(bounded(want.select("rid").distinct()), "rid", "left_semi")
         texts = texts.select("rid", F.posexplode(F.split("text", "\n")).alias("line", "raw")).join(bounded(want), ["rid", "line"])
-        texts = staged(texts.select("id", F.array_join(words_of(plain(F.col("raw"))), " ").alias("norm")), "texts")
+        texts = staged(texts.select("id", spelled(words_of(plain(F.col("raw")))).alias("spelled")), "texts")
         a, b = texts.toDF("a", "x"), texts.toDF("b", "y")
-        longer = F.greatest(F.length("x"), F.length("y"))
-        limit = F.floor(longer * F.lit(round(1 - least, 6))).cast("int")
-        both = pairs.join(a, "a").join(b, "b").withColumn("most", limit)
+        most = F.floor(F.greatest(F.length("x"), F.length("y")) * F.lit(round(1 - least, 6))).cast("int")
+        both = pairs.join(a, "a").join(b, "b").withColumn("most", most)
         near = F.expr("levenshtein(x, y, most)")
         return both.filter((F.abs(F.length("x") - F.length("y")) <= F.col("most")) & (near >= 0)).select("a", "b")
 
@@ -88,17 +98,18 @@ def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     ``rid`` hashes doc_id and text. Of each group of lines that are equal once
     normalised, or linked by fingerprints within ``differ`` bits and an edit similarity
-    of ``similarity``, the first by doc_id, row hash and line number stays.
+    of ``similarity`` over words, the first by doc_id, row hash and line number stays.
     """
     rows = with_rid(docs, doc_id, text)
     prints = staged(line_prints(rows, min_words), "prints")
     first = F.min(F.struct("doc_id", "rid", "line")).alias("first")
     nodes = staged(prints.groupBy(F.col("key").alias("id")).agg(F.min("fp").alias("fp"), first, F.count("*").alias("n")), "lines")
     groups = near_components(nodes, differ, blocks, similar(rows, nodes, similarity))
-    named = nodes.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    firsts = named.groupBy("component").agg(F.min("first").alias("stays"), F.sum("n").alias("all")).filter("all > 1").select("component", "stays")
+    named = nodes.join(bounded(groups), "id", "left").filter("n > 1 OR component IS NOT NULL")
+    named = staged(named.select("id", "first", F.coalesce("component", "id").alias("component")), "repeated")
+    firsts = named.groupBy("component").agg(F.min("first").alias("stays"))
     named = named.join(firsts, "component").select(F.col("id").alias("key"), "stays")
-    gone = prints.join(named, "key").filter(~F.struct("doc_id", "rid", "line").eqNullSafe(F.col("stays")))
+    gone = prints.join(bounded(named, F.lit(4)), "key").filter(~F.struct("doc_id", "rid", "line").eqNullSafe(F.col("stays")))
     return staged(gone.groupBy("rid").agg(F.collect_set("line").alias("gone")), "gone")
 
 
@@ -116,6 +127,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **s
     settings are those of ``duplicate_lines``.
     """
     gone = duplicate_lines(docs, doc_id, text, **settings).withColumnRenamed("rid", "_tw_rid").withColumnRenamed("gone", "_tw_gone")
+    # Few texts lose lines, as a rule: then all texts need not be shuffled to meet them.
+    gone = bounded(gone, F.size("_tw_gone") + 4)
     own = F.col(text).cast("string")
     joined = docs.withColumn("_tw_rid", F.xxhash64(F.col(doc_id), own)).join(gone, "_tw_rid", "left")
     lines = F.split(own, "\n")

@@ -109,24 +109,23 @@ def near_components(
     """
     nodes = nodes.select("id", "fp").dropna().distinct()
     masks = block_masks(blocks, differ)
-    keys = staged(
-        block_keys(nodes, masks).groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n")).filter("n > 1"),
-        "keys",
-    )
+    sums = F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n"), F.bit_xor("fp").alias("apart")
+    # Of two fingerprints the xor has the bits that differ: most chance meetings end here.
+    keys = block_keys(nodes, masks).groupBy("key").agg(*sums).filter((F.col("n") > 2) | ((F.col("n") == 2) & (F.bit_count("apart") <= differ)))
+    keys = staged(keys, "keys")
     full = keys.filter("n > 2").select("key", F.col("a").alias("hub"))
+    full = full.join(nodes.select(F.col("id").alias("hub"), F.col("fp").alias("hub_fp")), "hub")
     members = staged(block_keys(nodes, masks).join(full, "key"), "members")
 
-    def close(pairs: DataFrame) -> DataFrame:
+    def checked(pairs: DataFrame) -> DataFrame:
         pairs = pairs.filter("a != b").distinct()
-        fp = nodes.select(F.col("id").alias("a"), F.col("fp").alias("fp_a"))
-        pairs = pairs.join(fp, "a").join(fp.toDF("b", "fp_b"), "b").filter(hamming("fp_a", "fp_b") <= differ)
-        pairs = pairs.select("a", "b")
         return staged(verify(pairs) if verify else pairs, "near")
 
-    links = close(keys.filter("n = 2").select("a", "b").unionByName(members.select(F.col("hub").alias("a"), F.col("id").alias("b"))))
-    if members.isEmpty():
-        return components(links)
+    spokes = members.filter(hamming("hub_fp", "fp") <= differ).select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    links = checked(keys.filter("n = 2").select("a", "b").unionByName(spokes))
     groups = components(links)
+    if members.isEmpty():
+        return groups
     members = members.select("key", "id", "fp").distinct().join(groups, "id", "left")
     members = staged(members.withColumn("component", F.coalesce("component", "id")), "grouped")
     open_keys = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
@@ -138,7 +137,7 @@ def near_components(
         & (rest["component"] < other["component_b"])
         & (hamming(rest["fp"], other["fp_b"]) <= differ),
     ).select(F.col("id").alias("a"), F.col("id_b").alias("b"))
-    more = close(across)
+    more = checked(across)
     if more.isEmpty():
         return groups
     return components(links.unionByName(more))
