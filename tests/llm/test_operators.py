@@ -187,6 +187,16 @@ def test_lines_equal_brute_force(spark):
     assert got == want
 
 
+def test_line_of_many_long_words(spark):
+    rng = random.Random(12)
+    words = [f"{rng.getrandbits(60):015x}" for _ in range(200_000)]
+    rows = spark.createDataFrame([(0, 0, " ".join(words))], "doc_id long, rid long, text string")
+    got = lines.line_prints(rows, 5).first().fp
+    hashes = np.array([r.h for r in spark.createDataFrame([(w,) for w in words], "w string").select(F.xxhash64("w").alias("h")).collect()], dtype=np.int64).view(np.uint64)
+    want = sum(1 << j for j in range(64) if 2 * int((hashes >> np.uint64(j) & np.uint64(1)).sum()) > len(words))
+    assert got % 2**64 == want
+
+
 # Rules ---------------------------------------------------------------------------
 
 

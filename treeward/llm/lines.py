@@ -1,7 +1,7 @@
 """Fuzzy line deduplication.
 
 Lines are lower-cased, freed of common punctuation and cut into words. A line's
-SimHash comes from sums over its different words, with the sums of three bits side by
+SimHash comes from sums over its different words, with the sums of two bits side by
 side in one long; lines whose fingerprints share pigeonhole blocks are compared by the
 edit distance of their words; of each connected group one occurrence stays. All of it is DataFrame
 functions.
@@ -18,9 +18,9 @@ from .common import let, staged
 from .rules import without
 from .simhash import BITS, near_components
 
-#: Three counters of 20 bits or more in a long: they hold 65,000 different words of full weight a line.
-LANES = 22
-EVERY = sum(1 << (LANES * k) for k in range(3))
+#: Two counters of 32 bits in a long, clear of the sign: they hold 134 million different words of full weight a line.
+LANES = 32
+EVERY = sum(1 << (LANES * k) for k in range(2))
 PUNCTUATION = ".,;:!?|*#$%&"
 #: How many numbers may be sent to every executor (16 MB or so); with more, Spark shuffles.
 SMALL = 1_000_000
