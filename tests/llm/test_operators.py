@@ -197,6 +197,30 @@ def test_line_of_many_long_words(spark):
     assert got % 2**64 == want
 
 
+def test_whole_lines_equal_brute_force(spark):
+    """All links of the edit similarity, without fingerprints."""
+    rng = random.Random(13)
+    bases = [prose(rng, n).split() for n in (4, 5, 6, 7, 9, 12, 20, 34, 80) for _ in range(3)]
+    bases.append("a a a a a a a a a b".split())
+    texts = []
+    for _ in range(60):
+        own = []
+        for _ in range(3):
+            t = list(rng.choice(bases))
+            for _ in range(rng.randrange(1 + len(t) // 4)):
+                at = rng.randrange(len(t))
+                t[at : at + rng.randrange(2)] = rng.choice(([], [rng.choice(WORDS)]))
+            own.append(" ".join(t))
+        texts.append("\n".join(own))
+    got = {r.doc_id: r.text for r in lines.dedup_lines(docs(spark, texts), **lines.WHOLE | {"min_words": 4}).collect()}
+    at = [x.split() for t in texts for x in t.split("\n")]
+    link = lambda x, y: x == y or edit_distance(x, y) <= int(max(len(x), len(y)) * 0.2 + 1e-9)
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(at)), 2) if min(len(at[i]), len(at[j])) >= 4 and link(at[i], at[j])]
+    groups = find_groups(pairs)
+    want = {d: "\n".join(x for i, x in enumerate(t.split("\n")) if groups.get(3 * d + i, 3 * d + i) == 3 * d + i) for d, t in enumerate(texts)}
+    assert got == want
+
+
 # Rules ---------------------------------------------------------------------------
 
 

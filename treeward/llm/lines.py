@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, staged
+from .common import key_components, let, staged
 from .rules import without
 from .simhash import BITS, near_components
 
@@ -24,6 +24,8 @@ EVERY = sum(1 << (LANES * k) for k in range(2))
 PUNCTUATION = ".,;:!?|*#$%&"
 #: How many numbers may be sent to every executor (16 MB or so); with more, Spark shuffles.
 SMALL = 1_000_000
+#: The settings of the queries: every link of the edit similarity is found.
+WHOLE = {"differ": None}
 
 
 def words_of(line: Column) -> Column:
@@ -68,6 +70,29 @@ def line_prints(rows: DataFrame, min_words: int) -> DataFrame:
     return sums.select("doc_id", "rid", "line", "key", fp.alias("fp"))
 
 
+def line_grams(rows: DataFrame, min_words: int, least: float) -> DataFrame:
+    """``(doc_id, rid, line, key, n, m0, m1, grams)`` of all lines with ``min_words`` words or more.
+
+    ``grams`` has hashes of those pairs of neighbouring words that come first in an
+    order of all pairs: the longer its shorter word, the earlier. An edit breaks two pairs
+    at most, so two lines of the edit similarity ``least`` share one of their first
+    ``2 * (1 - least) * n + 1`` pairs: no link is missed. ``m0`` and ``m1`` are sets of the
+    words' hashes modulo 64; an edit adds one bit at most.
+    """
+    lines = rows.select("doc_id", "rid", F.posexplode_outer(F.split(plain(F.col("text")), "\n")).alias("line", "norm"))
+    lines = lines.select("doc_id", "rid", "line", words_of(F.col("norm")).alias("words")).filter(F.size("words") >= min_words)
+    size = F.size("words")
+    # 59 bits of the hash, under four bits that order the pairs.
+    rank = lambda a, b: F.lit(15) - F.least(F.length(a), F.length(b), F.lit(15))
+    gram = lambda a, b: F.shiftrightunsigned(F.xxhash64(a, b), 5).bitwiseOR(F.shiftleft(rank(a, b).cast("long"), 59))
+    pairs = let(F.col("words"), lambda ws: F.transform(F.slice(ws, 1, F.size(ws) - 1), lambda w, i: gram(w, F.get(ws, i + 1))))
+    most = F.floor(size * F.lit(round(2 * (1 - least), 6))).cast("int") + 1
+    # Lines of fewer words hold no edit.
+    grams = F.when(F.floor(F.ceil(size / F.lit(least)) * F.lit(round(1 - least, 6))) >= 1, F.slice(F.sort_array(F.array_distinct(pairs)), 1, most))
+    bits = lambda at: F.aggregate("words", F.lit(0).cast("long"), lambda m, w: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(F.xxhash64(w), at).bitwiseAND(F.lit(63)).cast("int"))))
+    return lines.select("doc_id", "rid", "line", F.xxhash64("words").alias("key"), size.alias("n"), bits(0).alias("m0"), bits(20).alias("m1"), grams.alias("grams"))
+
+
 def spelled(words: Column) -> Column:
     """The words as a string with one character for each, by hash among 51,200, so that edits of it are edits of words."""
     code = lambda w: F.hex(F.pmod(F.xxhash64(w), F.lit(0xC800)) + F.lit(0x1000))
@@ -93,19 +118,52 @@ def similar(rows: DataFrame, nodes: DataFrame, least: float):
     return verify
 
 
-def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 5, similarity: float = 0.8, differ: int = 3, blocks: int = 5) -> DataFrame:
+def alike(least: float):
+    """What holds of the lengths and word sets of any two lines of an edit similarity ``least``."""
+
+    def close(a, b) -> Column:
+        most = F.floor(F.greatest(a("n"), b("n")) * F.lit(round(1 - least, 6)))
+        lost = lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y))) <= most
+        return (F.abs(a("n") - b("n")) <= most) & lost(a("m0"), b("m0")) & lost(b("m0"), a("m0")) & lost(a("m1"), b("m1")) & lost(b("m1"), a("m1"))
+
+    return close
+
+
+def whole_components(rows: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """``(id, component)``: the exact groups of lines linked by an edit similarity of ``least`` over words."""
+    verify, close = similar(rows, nodes, least), alike(least)
+    facts = nodes.select("id", "n", "m0", "m1")
+    other = facts.toDF("b", "n_b", "m0_b", "m1_b")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(facts.withColumnRenamed("id", "a"), "a").join(other, "b")
+        return verify(both.filter(close(F.col, lambda c: F.col(f"{c}_b"))).select("a", "b"))
+
+    keyed = nodes.select(F.explode("grams").alias("key"), "id", "n", "m0", "m1")
+    return key_components(keyed, verified, close)
+
+
+def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 5, similarity: float = 0.8, differ: int | None = 3, blocks: int = 5) -> DataFrame:
     """``(rid, gone)``: for each text that loses lines, its row hash and the numbers of these lines.
 
     ``rid`` hashes doc_id and text. Of each group of lines that are equal once
     normalised, or linked by fingerprints within ``differ`` bits and an edit similarity
     of ``similarity`` over words, the first by doc_id, row hash and line number stays.
+    The fingerprints miss many links near ``similarity``; with ``differ`` None, as the
+    queries have it, they are not made, and all links are found by shared pairs of words.
     """
     rows = with_rid(docs, doc_id, text)
-    prints = staged(line_prints(rows, min_words), "prints")
-    first = F.min(F.struct("doc_id", "rid", "line")).alias("first")
-    nodes = staged(prints.groupBy(F.col("key").alias("id")).agg(F.min("fp").alias("fp"), first, F.count("*").alias("n")), "lines")
-    groups = near_components(nodes, differ, blocks, similar(rows, nodes, similarity))
-    named = nodes.join(bounded(groups), "id", "left").filter("n > 1 OR component IS NOT NULL")
+    first, repeats = F.min(F.struct("doc_id", "rid", "line")).alias("first"), F.count("*").alias("repeats")
+    if differ is None:
+        prints = staged(line_grams(rows, min_words, similarity), "prints")
+        same = [F.first(c).alias(c) for c in ("n", "m0", "m1", "grams")]
+        nodes = staged(prints.groupBy(F.col("key").alias("id")).agg(*same, first, repeats), "lines")
+        groups = whole_components(rows, nodes, similarity)
+    else:
+        prints = staged(line_prints(rows, min_words), "prints")
+        nodes = staged(prints.groupBy(F.col("key").alias("id")).agg(F.min("fp").alias("fp"), first, repeats), "lines")
+        groups = near_components(nodes, differ, blocks, similar(rows, nodes, similarity))
+    named = nodes.join(bounded(groups), "id", "left").filter("repeats > 1 OR component IS NOT NULL")
     named = staged(named.select("id", "first", F.coalesce("component", "id").alias("component")), "repeated")
     firsts = named.groupBy("component").agg(F.min("first").alias("stays"))
     named = named.join(firsts, "component").select(F.col("id").alias("key"), "stays")

@@ -34,7 +34,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document after line deduplication: its lines before and after, and a digest of its text."""
     docs = table(spark, sf_dir, "documents")
     before = F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines")
-    out = lines.dedup_lines(docs.select("doc_id", before, "text"))
+    out = lines.dedup_lines(docs.select("doc_id", before, "text"), **lines.WHOLE)
     return out.select(
         "doc_id",
         "n_lines",
