@@ -221,6 +221,16 @@ def test_whole_lines_equal_brute_force(spark):
     assert got == want
 
 
+def test_short_lines_and_scripts_without_spaces(spark):
+    rng = random.Random(16)
+    han = "".join(chr(0x4E00 + rng.randrange(9000)) for _ in range(40))
+    near = han[:20] + chr(0x4E00) + han[21:]
+    kana, thai = "".join(chr(0x3042 + k % 60) for k in range(30)), "".join(chr(0x0E01 + k % 40) for k in range(30))
+    texts = [f"All rights reserved\nown one\n\n{han}\n{thai}", f"all rights reserved.\nown two\n\n{near}\n{kana}", f"{kana}\n{thai}\n\nown one two"]
+    got = {r.doc_id: r.text for r in lines.dedup_lines(docs(spark, texts), **lines.WHOLE).collect()}
+    assert got == {0: texts[0], 1: f"own two\n\n{kana}", 2: "\nown one two"}
+
+
 # Rules ---------------------------------------------------------------------------
 
 

@@ -24,8 +24,10 @@ EVERY = sum(1 << (LANES * k) for k in range(2))
 PUNCTUATION = ".,;:!?|*#$%&"
 #: How many numbers may be sent to every executor (16 MB or so); with more, Spark shuffles.
 SMALL = 1_000_000
-#: The settings of the queries: every link of the edit similarity is found.
-WHOLE = {"differ": None}
+#: The settings of the queries: lines of any length, and every link of the edit similarity.
+WHOLE = {"differ": None, "min_words": 1}
+#: Thai, Lao, Burmese, Khmer, kana and Chinese characters: no space parts their words, so each counts as a word.
+SPACELESS = r"([\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}])"
 
 
 def words_of(line: Column) -> Column:
@@ -34,8 +36,10 @@ def words_of(line: Column) -> Column:
 
 
 def plain(text: Column) -> Column:
-    """Lower case, common punctuation gone, tabs and carriage returns as spaces."""
-    return without(without(F.lower(F.coalesce(text, F.lit(""))), PUNCTUATION), "\t\r", " ")
+    """Lower case, common punctuation gone, tabs and carriage returns as spaces, spaces around characters of SPACELESS."""
+    out = without(without(F.lower(F.coalesce(text, F.lit(""))), PUNCTUATION), "\t\r", " ")
+    # Texts of one byte a character have none of them.
+    return let(out, lambda t: F.when(F.octet_length(t) == F.length(t), t).otherwise(F.regexp_replace(t, SPACELESS, " $1 ")))
 
 
 def bounded(df: DataFrame, numbers: Column | None = None) -> DataFrame:
@@ -63,7 +67,7 @@ def line_prints(rows: DataFrame, min_words: int) -> DataFrame:
     lines = lines.select("doc_id", "rid", "line", "key", "words", F.xxhash64("word").alias("h"), weight.alias("w"))
     sums = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(EVERY)) * F.col("w")).alias(f"s{j}") for j in range(LANES)]
     sums = lines.groupBy("doc_id", "rid", "line", "key").agg(F.sum("w").alias("n"), F.max("words").alias("words"), *sums)
-    sums = sums.filter(F.col("words") >= min_words)
+    sums = sums.filter(F.col("words") >= max(1, min_words))
     ones = lambda j: F.shiftrightunsigned(F.col(f"s{j % LANES}"), LANES * (j // LANES)).bitwiseAND(F.lit((1 << LANES) - 1))
     bit = lambda j: F.when(2 * ones(j) > F.col("n"), F.lit((1 << j) - (1 << 64) * (j == 63))).otherwise(F.lit(0))
     fp = reduce(Column.bitwiseOR, (bit(j).cast("long") for j in range(BITS)))
@@ -71,7 +75,7 @@ def line_prints(rows: DataFrame, min_words: int) -> DataFrame:
 
 
 def line_grams(rows: DataFrame, min_words: int, least: float) -> DataFrame:
-    """``(doc_id, rid, line, key, n, m0, m1, grams)`` of all lines with ``min_words`` words or more.
+    """``(doc_id, rid, line, key, n, m0, m1, grams)`` of all lines with ``min_words`` words or more, 1 at least.
 
     ``grams`` has hashes of those pairs of neighbouring words that come first in an
     order of all pairs: the longer its shorter word, the earlier. An edit breaks two pairs
@@ -80,7 +84,7 @@ def line_grams(rows: DataFrame, min_words: int, least: float) -> DataFrame:
     words' hashes modulo 64; an edit adds one bit at most.
     """
     lines = rows.select("doc_id", "rid", F.posexplode_outer(F.split(plain(F.col("text")), "\n")).alias("line", "norm"))
-    lines = lines.select("doc_id", "rid", "line", words_of(F.col("norm")).alias("words")).filter(F.size("words") >= min_words)
+    lines = lines.select("doc_id", "rid", "line", words_of(F.col("norm")).alias("words")).filter(F.size("words") >= max(1, min_words))
     size = F.size("words")
     # 59 bits of the hash, under four bits that order the pairs.
     rank = lambda a, b: F.lit(15) - F.least(F.length(a), F.length(b), F.lit(15))
@@ -179,8 +183,8 @@ def with_rid(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """``docs`` with repeated lines cut out of ``text``; all rows and columns stay.
 
-    ``n_chars``, if there, follows the text. Lines of fewer than ``min_words`` words
-    say too little and stay, as do null texts; a text may become empty. Rows that
+    ``n_chars``, if there, follows the text. Lines of fewer than ``min_words`` words,
+    or of none, stay, as do null texts; a text may become empty. Rows that
     repeat both doc_id and text count as one document and come out alike. The
     settings are those of ``duplicate_lines``.
     """
