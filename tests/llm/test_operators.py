@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
-from treeward.llm import bpe, chat, common, decontam, html, langid, licenses, lines, quality, queries, rules, simhash, wordhash
+from treeward.llm import bpe, chat, common, copies, decontam, html, langid, licenses, lines, quality, queries, rules, simhash, wordhash
 
 from ..conftest import SMALL
 from ..oracle import same
@@ -128,6 +128,33 @@ def test_simhash_empty_and_repeated(spark):
     assert sorted((r.doc_id is None, r.component_id) for r in simhash.near_duplicates(nulls).collect()) == [(False, 0), (False, 0), (True, None)]
 
 
+def test_near_copies_equal_brute_force(spark):
+    import corpus_pipeline
+
+    rng = random.Random(17)
+    texts = [*ODD]
+    for n in (8, 40, 150, 400):
+        for _ in range(4):
+            base = prose(rng, n).split()
+            for _ in range(8):
+                t = list(base)
+                for _ in range(rng.randrange(1 + n // 25)):
+                    t[rng.randrange(n)] = rng.choice(WORDS)
+                texts.append(" ".join(t))
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert any(len(sets[i] & sets[j]) < 0.9 * len(sets[i] | sets[j]) for i, j in pairs)
+    groups = find_groups(pairs)
+    got = {r.doc_id: r.component_id for r in copies.near_copies(docs(spark, texts)).collect()}
+    assert got == {i: groups.get(i, i) for i in range(len(texts))}
+    kept = corpus_pipeline.near_dedup(spark, docs(spark, texts), SMALL)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(got.values()))
+    assert copies.near_copies(docs(spark, [])).count() == 0
+
+
 # Lines ---------------------------------------------------------------------------
 
 
