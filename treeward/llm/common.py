@@ -91,18 +91,19 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
     return ids.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
 
 
-def key_components(rows: DataFrame, verify, close=None) -> DataFrame:
+def key_components(rows: DataFrame, verify, close=None, facts: DataFrame | None = None) -> DataFrame:
     """``(id, component)`` of ids that share a key and that ``verify``, which maps pairs ``(a, b)`` to those that hold, links.
 
-    ``rows`` has ``key, id`` and what ``close``, if given, compares: it maps two
-    functions from names to columns to a condition that every link fulfils. The
+    ``rows`` has ``key, id``, ``facts`` has ``id`` and what ``close`` compares: it maps
+    two functions from names to columns to a condition that every link fulfils. The
     groups are the exact closure of the links: a key with two rows is settled by its
     pair; the ids of a fuller one first link to its smallest id, and only keys whose ids
     are then still in several groups are joined with themselves, and only across groups.
     """
     keys = rows.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n")).filter("a < b")
     keys = staged(keys, "keys")
-    members = staged(rows.join(keys.filter("n > 2").select("key", F.col("a").alias("hub")), "key"), "members")
+    full = keys.filter("n > 2").select("key", F.col("a").alias("hub"))
+    members = staged(rows.join(F.broadcast(full) if full.count() <= 500_000 else full, "key"), "members")
 
     def checked(pairs: DataFrame) -> DataFrame:
         return staged(verify(pairs.filter("a != b").distinct()), "near")
@@ -114,6 +115,8 @@ def key_components(rows: DataFrame, verify, close=None) -> DataFrame:
     members = members.drop("hub").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
     members = staged(members, "grouped")
     rest = members.join(members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key"), "key")
+    if close:
+        rest = rest.join(facts, "id")
     other = rest.toDF(*(c if c == "key" else f"{c}_b" for c in rest.columns))
     across = rest.join(other, "key").filter("component < component_b")
     if close:

@@ -143,8 +143,8 @@ def whole_components(rows: DataFrame, nodes: DataFrame, least: float) -> DataFra
         both = pairs.join(facts.withColumnRenamed("id", "a"), "a").join(other, "b")
         return verify(both.filter(close(F.col, lambda c: F.col(f"{c}_b"))).select("a", "b"))
 
-    keyed = nodes.select(F.explode("grams").alias("key"), "id", "n", "m0", "m1")
-    return key_components(keyed, verified, close)
+    keyed = nodes.select(F.explode("grams").alias("key"), "id")
+    return key_components(keyed, verified, close, facts)
 
 
 def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 5, similarity: float = 0.8, differ: int | None = 3, blocks: int = 5) -> DataFrame:
