@@ -49,6 +49,15 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Remove tables that ``staged`` wrote and that nothing reads any more."""
+    for df in tables:
+        folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+        for folder in folders:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def components(links: DataFrame, name: str = "links") -> DataFrame:
     """Connected groups of the graph with edges ``links(a, b)``.
 
@@ -82,7 +91,8 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
             .filter("u != v")
             .distinct()
         )
-        edges = staged(small, f"{name}-{i}")
+        last, edges = edges, staged(small, f"{name}-{i}")
+        dropped(last)
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == before:
             break
@@ -91,35 +101,42 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
     return ids.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
 
 
-def key_components(rows: DataFrame, verify, close=None, facts: DataFrame | None = None) -> DataFrame:
+def key_components(rows: DataFrame, verify, close, facts_of) -> DataFrame:
     """``(id, component)`` of ids that share a key and that ``verify``, which maps pairs ``(a, b)`` to those that hold, links.
 
-    ``rows`` has ``key, id``, ``facts`` has ``id`` and what ``close`` compares: it maps
-    two functions from names to columns to a condition that every link fulfils. The
-    groups are the exact closure of the links: a key with two rows is settled by its
-    pair; the ids of a fuller one first link to its smallest id, and only keys whose ids
-    are then still in several groups are joined with themselves, and only across groups.
+    ``rows`` has ``key, id`` and may repeat them. ``facts_of`` maps ids to what ``close``
+    compares, a row each: ``close`` maps two functions from names to columns to a
+    condition that every link fulfils. The groups are the exact closure of the links: a
+    key with two rows is settled by its pair; the ids of a fuller one first link to its
+    smallest id, and only keys whose ids are then still in several groups are joined with
+    themselves, and only across groups.
     """
     keys = rows.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n")).filter("a < b")
     keys = staged(keys, "keys")
     full = keys.filter("n > 2").select("key", F.col("a").alias("hub"))
-    members = staged(rows.join(F.broadcast(full) if full.count() <= 500_000 else full, "key"), "members")
+    members = staged(rows.join(F.broadcast(full) if full.count() <= 500_000 else full, "key").distinct(), "members")
+    ids = keys.select("a").union(keys.select("b")).union(members.select("id")).toDF("id").distinct()
+    facts = staged(facts_of(staged(ids, "ids")), "facts")
+    other = facts.toDF(*(f"{c}_b" for c in facts.columns))
+    near_enough = close(F.col, lambda c: F.col(f"{c}_b"))
 
     def checked(pairs: DataFrame) -> DataFrame:
-        return staged(verify(pairs.filter("a != b").distinct()), "near")
+        both = pairs.distinct().join(facts, F.col("a") == F.col("id")).join(other, F.col("b") == F.col("id_b"))
+        return staged(verify(both.filter(near_enough).select("a", "b")), "near")
 
-    links = checked(keys.filter("n = 2").select("a", "b").unionByName(members.select(F.col("hub").alias("a"), F.col("id").alias("b"))))
+    spokes = members.filter("hub != id").select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    links = checked(keys.filter("n = 2").select("a", "b").unionByName(spokes))
     groups = components(links)
     if members.isEmpty():
         return groups
-    members = members.drop("hub").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    members = staged(members, "grouped")
-    rest = members.join(members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key"), "key")
-    if close:
-        rest = rest.join(facts, "id")
-    other = rest.toDF(*(c if c == "key" else f"{c}_b" for c in rest.columns))
-    across = rest.join(other, "key").filter("component < component_b")
-    if close:
-        across = across.filter(close(F.col, lambda c: F.col(f"{c}_b")))
-    more = checked(across.select(F.col("id").alias("a"), F.col("id_b").alias("b")))
+    grouped = members.drop("hub").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    grouped = staged(grouped, "grouped")
+    dropped(members, keys)
+    rest = grouped.join(grouped.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key"), "key")
+    rest = staged(rest.join(facts, "id"), "rest")
+    dropped(grouped)
+    again = rest.toDF(*(c if c == "key" else f"{c}_b" for c in rest.columns))
+    across = rest.join(again, "key").filter("component < component_b").filter(near_enough)
+    more = verify(across.select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct())
+    more = staged(more, "near")
     return groups if more.isEmpty() else components(links.unionByName(more))

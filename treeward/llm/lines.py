@@ -1,33 +1,33 @@
 """Fuzzy line deduplication.
 
 Lines are lower-cased, freed of common punctuation and cut into words. A line's
-SimHash comes from sums over its different words, with the sums of two bits side by
-side in one long; lines whose fingerprints share pigeonhole blocks are compared by the
-edit distance of their words; of each connected group one occurrence stays. All of it is DataFrame
-functions.
+fingerprint is a set of SimHashes, one for each window of a few neighbouring words: a bit
+is 1 if most of the window's word hashes have it. These are its pigeonhole blocks, as an
+edit spoils no more of them than a window has words. Lines that share one of the blocks
+that come first in an order of all blocks are compared by the edit distance of their
+words, and of each connected group one occurrence stays. One SimHash of a whole line would
+not do: lines of edit similarity 0.8 differ in 13 of 64 bits, which no blocks can bridge.
+All of it is DataFrame functions.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_components, let, staged
+from .common import dropped, key_components, let, staged
 from .rules import without
-from .simhash import BITS, near_components
 
-#: Two counters of 32 bits in a long, clear of the sign: they hold 134 million different words of full weight a line.
-LANES = 32
-EVERY = sum(1 << (LANES * k) for k in range(2))
 PUNCTUATION = ".,;:!?|*#$%&"
 #: How many numbers may be sent to every executor (16 MB or so); with more, Spark shuffles.
 SMALL = 1_000_000
-#: The settings of the queries: lines of any length, and every link of the edit similarity.
-WHOLE = {"differ": None, "min_words": 1}
 #: Thai, Lao, Burmese, Khmer, kana and Chinese characters: no space parts their words, so each counts as a word.
 SPACELESS = r"([\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}])"
+#: Windows of three words that a line is found by: seven hold all links of lines under 15 words at similarity 0.8, as
+#: two edits spoil six; of longer lines that are just as near two in a thousand are missed.
+WINDOWS = 7
+#: A word hash has 59 bits, and above them four that order words by length.
+HASH_BITS = 59
 
 
 def words_of(line: Column) -> Column:
@@ -48,53 +48,58 @@ def bounded(df: DataFrame, numbers: Column | None = None) -> DataFrame:
     return F.broadcast(df) if size <= SMALL else df
 
 
-def line_prints(rows: DataFrame, min_words: int) -> DataFrame:
-    """``(doc_id, rid, line, key, fp)`` of all lines with ``min_words`` words or more.
+def ranked_hash(word: Column) -> Column:
+    """59 bits of the word's hash under its rank: the longer, and so as a rule rarer, the lower."""
+    rank = F.lit(15) - F.least(F.length(word), F.lit(15))
+    return F.shiftrightunsigned(F.xxhash64(word), 64 - HASH_BITS).bitwiseOR(F.shiftleft(rank.cast("long"), HASH_BITS))
+
+
+def simhash(*words: Column) -> Column:
+    """The SimHash of two or three ranked hashes, bits that more than half of them have, under the rank of the shortest word."""
+    if len(words) == 2:
+        most = words[0].bitwiseAND(words[1])
+    else:
+        a, b, c = words
+        most = a.bitwiseAND(b.bitwiseOR(c)).bitwiseOR(b.bitwiseAND(c))
+    low = (1 << HASH_BITS) - 1
+    return most.bitwiseAND(F.lit(low)).bitwiseOR(F.greatest(*words).bitwiseAND(F.lit(15 << HASH_BITS)))
+
+
+def blocks(hashes: Column, least: float) -> Column:
+    """The pigeonhole blocks of a line, by its words' ranked hashes.
 
-    ``rows`` has ``doc_id, rid, text``. ``key`` is the hash of the words, ``fp`` has a
-    bit where words of more than half the weight have it in their hashes. Each different
-    word weighs a quarter of the square of its length, up to 8 letters: short words are
-    in most lines of a language and would make them all alike.
+    Lines with so few words that those near them differ in one edit, and so in two
+    windows of two words, have three of these; others have ``WINDOWS`` of three words, and
+    lines between both. Lines too short for an edit have none.
     """
-    # Outer explodes: a plain one has its array computed once more, for a filter below it.
-    lines = rows.select("doc_id", "rid", F.posexplode_outer(F.split(plain(F.col("text")), "\n")).alias("line", "norm"))
-    words = words_of(F.col("norm"))
-    # The key is made below the second explode, or it would be made for each word.
-    lines = lines.select("doc_id", "rid", "line", F.xxhash64(words).alias("key"), F.size(words).alias("words"), F.array_distinct(words).alias("set"))
-    lines = lines.select("doc_id", "rid", "line", "key", "words", F.explode_outer("set").alias("word"))
-    letters = F.least(F.length("word"), F.lit(8)).cast("long")
-    weight = F.greatest(F.shiftright(letters * letters, 2), F.lit(1))
-    lines = lines.select("doc_id", "rid", "line", "key", "words", F.xxhash64("word").alias("h"), weight.alias("w"))
-    sums = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(EVERY)) * F.col("w")).alias(f"s{j}") for j in range(LANES)]
-    sums = lines.groupBy("doc_id", "rid", "line", "key").agg(F.sum("w").alias("n"), F.max("words").alias("words"), *sums)
-    sums = sums.filter(F.col("words") >= max(1, min_words))
-    ones = lambda j: F.shiftrightunsigned(F.col(f"s{j % LANES}"), LANES * (j // LANES)).bitwiseAND(F.lit((1 << LANES) - 1))
-    bit = lambda j: F.when(2 * ones(j) > F.col("n"), F.lit((1 << j) - (1 << 64) * (j == 63))).otherwise(F.lit(0))
-    fp = reduce(Column.bitwiseOR, (bit(j).cast("long") for j in range(BITS)))
-    return sums.select("doc_id", "rid", "line", "key", fp.alias("fp"))
-
-
-def line_grams(rows: DataFrame, min_words: int, least: float) -> DataFrame:
-    """``(doc_id, rid, line, key, n, m0, m1, grams)`` of all lines with ``min_words`` words or more, 1 at least.
-
-    ``grams`` has hashes of those pairs of neighbouring words that come first in an
-    order of all pairs: the longer its shorter word, the earlier. An edit breaks two pairs
-    at most, so two lines of the edit similarity ``least`` share one of their first
-    ``2 * (1 - least) * n + 1`` pairs: no link is missed. ``m0`` and ``m1`` are sets of the
-    words' hashes modulo 64; an edit adds one bit at most.
+    border = 2 / (1 - least)
+    pairs = lambda h: F.transform(F.slice(h, 1, F.size(h) - 1), lambda x, i: simhash(x, F.get(h, i + 1)))
+    threes = lambda h: F.transform(F.slice(h, 1, F.size(h) - 2), lambda x, i: simhash(x, F.get(h, i + 1), F.get(h, i + 2)))
+    first = lambda b, n: F.slice(F.sort_array(F.array_distinct(b)), 1, n)
+    none = F.expr("cast(array() as array<bigint>)")
+    low, high = round(least * border / 2, 6), round(border, 6)
+
+    def of(h: Column) -> Column:
+        short = F.when((F.size(h) >= F.greatest(F.lit(low), F.lit(2))) & (F.size(h) < high), first(pairs(h), 3)).otherwise(none)
+        return F.when(F.size(h) >= F.greatest(F.lit(round(least * border, 6)), F.lit(3)), F.concat(first(threes(h), WINDOWS), short)).otherwise(short)
+
+    return let(hashes, of)
+
+
+def line_prints(rows: DataFrame, min_words: int, least: float) -> DataFrame:
+    """``(doc_id, rid, line, key, n, m0, m1, blocks)`` of all lines with ``min_words`` words or more, 1 at least.
+
+    ``rows`` has ``doc_id, rid, text``. ``key`` is the hash of the words, ``n`` their
+    number. ``m0`` and ``m1`` are sets of the words' hashes modulo 64; an edit adds one
+    bit at most.
     """
+    # Outer explodes: a plain one has its array computed once more, for a filter below it.
     lines = rows.select("doc_id", "rid", F.posexplode_outer(F.split(plain(F.col("text")), "\n")).alias("line", "norm"))
-    lines = lines.select("doc_id", "rid", "line", words_of(F.col("norm")).alias("words")).filter(F.size("words") >= max(1, min_words))
-    size = F.size("words")
-    # 59 bits of the hash, under four bits that order the pairs.
-    rank = lambda a, b: F.lit(15) - F.least(F.length(a), F.length(b), F.lit(15))
-    gram = lambda a, b: F.shiftrightunsigned(F.xxhash64(a, b), 5).bitwiseOR(F.shiftleft(rank(a, b).cast("long"), 59))
-    pairs = let(F.col("words"), lambda ws: F.transform(F.slice(ws, 1, F.size(ws) - 1), lambda w, i: gram(w, F.get(ws, i + 1))))
-    most = F.floor(size * F.lit(round(2 * (1 - least), 6))).cast("int") + 1
-    # Lines of fewer words hold no edit.
-    grams = F.when(F.floor(F.ceil(size / F.lit(least)) * F.lit(round(1 - least, 6))) >= 1, F.slice(F.sort_array(F.array_distinct(pairs)), 1, most))
-    bits = lambda at: F.aggregate("words", F.lit(0).cast("long"), lambda m, w: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(F.xxhash64(w), at).bitwiseAND(F.lit(63)).cast("int"))))
-    return lines.select("doc_id", "rid", "line", F.xxhash64("words").alias("key"), size.alias("n"), bits(0).alias("m0"), bits(20).alias("m1"), grams.alias("grams"))
+    lines = lines.filter(F.trim("norm") != "")
+    lines = lines.select("doc_id", "rid", "line", F.transform(words_of(F.col("norm")), ranked_hash).alias("h"))
+    bits = lambda at: F.aggregate("h", F.lit(0).cast("long"), lambda m, h: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, at).bitwiseAND(F.lit(63)).cast("int"))))
+    lines = lines.select("doc_id", "rid", "line", F.xxhash64("h").alias("key"), F.size("h").alias("n"), bits(0).alias("m0"), bits(20).alias("m1"), blocks(F.col("h"), least).alias("blocks"))
+    return lines.filter(F.col("n") >= min_words) if min_words > 1 else lines
 
 
 def spelled(words: Column) -> Column:
@@ -103,19 +108,23 @@ def spelled(words: Column) -> Column:
     return F.decode(F.unhex(F.array_join(F.transform(words, code), "")), "UTF-16BE")
 
 
-def similar(rows: DataFrame, nodes: DataFrame, least: float):
+def similar(rows: DataFrame, prints: DataFrame, least: float):
     """A check of pairs ``(a, b)`` of line keys by edit similarity, 1 - distance / longer length, over words."""
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = staged(pairs, "candidates")
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        want = staged(nodes.join(ids, "id", "left_semi").select("id", "first.rid", "first.line"), "wanted")
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        # Any occurrence of a line will do.
+        want = prints.join(bounded(ids), "key", "left_semi").groupBy(F.col("key").alias("id")).agg(F.min("rid").alias("rid"))
+        want = prints.select("key", "rid", "line").join(bounded(want), (F.col("key") == F.col("id")) & (prints["rid"] == want["rid"]), "left_semi")
+        want = staged(want.groupBy(F.col("key").alias("id")).agg(F.min("rid").alias("rid"), F.min("line").alias("line")), "wanted")
         texts = rows.select("rid", "text").join(bounded(want.select("rid").distinct()), "rid", "left_semi")
         texts = texts.select("rid", F.posexplode(F.split("text", "\n")).alias("line", "raw")).join(bounded(want), ["rid", "line"])
-        texts = staged(texts.select("id", spelled(words_of(plain(F.col("raw")))).alias("spelled")), "texts")
+        texts = staged(texts.select("id", spelled(words_of(plain(F.col("raw")))).alias("spelled")).dropDuplicates(["id"]), "texts")
         a, b = texts.toDF("a", "x"), texts.toDF("b", "y")
         most = F.floor(F.greatest(F.length("x"), F.length("y")) * F.lit(round(1 - least, 6))).cast("int")
         both = pairs.join(a, "a").join(b, "b").withColumn("most", most)
+        # The distance is sought in a band of that width only.
         near = F.expr("levenshtein(x, y, most)")
         return both.filter((F.abs(F.length("x") - F.length("y")) <= F.col("most")) & (near >= 0)).select("a", "b")
 
@@ -133,46 +142,36 @@ def alike(least: float):
     return close
 
 
-def whole_components(rows: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """``(id, component)``: the exact groups of lines linked by an edit similarity of ``least`` over words."""
-    verify, close = similar(rows, nodes, least), alike(least)
-    facts = nodes.select("id", "n", "m0", "m1")
-    other = facts.toDF("b", "n_b", "m0_b", "m1_b")
+def line_components(rows: DataFrame, prints: DataFrame, least: float) -> DataFrame:
+    """``(id, component)``: the groups of lines that share a block and have an edit similarity of ``least`` over words."""
+    verify, close = similar(rows, prints, least), alike(least)
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(facts.withColumnRenamed("id", "a"), "a").join(other, "b")
-        return verify(both.filter(close(F.col, lambda c: F.col(f"{c}_b"))).select("a", "b"))
+    def facts_of(ids: DataFrame) -> DataFrame:
+        own = prints.join(bounded(ids), prints["key"] == ids["id"], "left_semi")
+        return own.groupBy(F.col("key").alias("id")).agg(F.max("n").alias("n"), F.max("m0").alias("m0"), F.max("m1").alias("m1"))
 
-    keyed = nodes.select(F.explode("grams").alias("key"), "id")
-    return key_components(keyed, verified, close, facts)
+    return key_components(prints.select(F.explode("blocks").alias("key"), F.col("key").alias("id")), verify, close, facts_of)
 
 
-def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 5, similarity: float = 0.8, differ: int | None = 3, blocks: int = 5) -> DataFrame:
+def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 1, similarity: float = 0.8) -> DataFrame:
     """``(rid, gone)``: for each text that loses lines, its row hash and the numbers of these lines.
 
     ``rid`` hashes doc_id and text. Of each group of lines that are equal once
-    normalised, or linked by fingerprints within ``differ`` bits and an edit similarity
-    of ``similarity`` over words, the first by doc_id, row hash and line number stays.
-    The fingerprints miss many links near ``similarity``; with ``differ`` None, as the
-    queries have it, they are not made, and all links are found by shared pairs of words.
+    normalised, or linked by a shared block and an edit similarity of ``similarity``
+    over words, the first by doc_id, row hash and line number stays.
     """
     rows = with_rid(docs, doc_id, text)
-    first, repeats = F.min(F.struct("doc_id", "rid", "line")).alias("first"), F.count("*").alias("repeats")
-    if differ is None:
-        prints = staged(line_grams(rows, min_words, similarity), "prints")
-        same = [F.first(c).alias(c) for c in ("n", "m0", "m1", "grams")]
-        nodes = staged(prints.groupBy(F.col("key").alias("id")).agg(*same, first, repeats), "lines")
-        groups = whole_components(rows, nodes, similarity)
-    else:
-        prints = staged(line_prints(rows, min_words), "prints")
-        nodes = staged(prints.groupBy(F.col("key").alias("id")).agg(F.min("fp").alias("fp"), first, repeats), "lines")
-        groups = near_components(nodes, differ, blocks, similar(rows, nodes, similarity))
-    named = nodes.join(bounded(groups), "id", "left").filter("repeats > 1 OR component IS NOT NULL")
-    named = staged(named.select("id", "first", F.coalesce("component", "id").alias("component")), "repeated")
-    firsts = named.groupBy("component").agg(F.min("first").alias("stays"))
-    named = named.join(firsts, "component").select(F.col("id").alias("key"), "stays")
-    gone = prints.join(bounded(named, F.lit(4)), "key").filter(~F.struct("doc_id", "rid", "line").eqNullSafe(F.col("stays")))
-    return staged(gone.groupBy("rid").agg(F.collect_set("line").alias("gone")), "gone")
+    prints = staged(line_prints(rows, min_words, similarity), "prints")
+    groups = line_components(rows, prints, similarity)
+    again = prints.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    named = again.join(groups, again["key"] == groups["id"], "full").select(F.coalesce("key", "id").alias("key"), F.coalesce("component", "key").alias("component"))
+    named = staged(named, "named")
+    repeated = staged(prints.select("doc_id", "rid", "line", "key").join(bounded(named, F.lit(2)), "key").drop("key"), "repeated")
+    stays = staged(repeated.groupBy("component").agg(F.min(F.struct("doc_id", "rid", "line")).alias("stays")), "stays")
+    gone = repeated.join(bounded(stays, F.lit(4)), "component").filter(~F.struct("doc_id", "rid", "line").eqNullSafe(F.col("stays")))
+    gone = staged(gone.groupBy("rid").agg(F.collect_set("line").alias("gone")), "gone")
+    dropped(prints, named, repeated, stays)
+    return gone
 
 
 def with_rid(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -185,8 +184,9 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **s
 
     ``n_chars``, if there, follows the text. Lines of fewer than ``min_words`` words,
     or of none, stay, as do null texts; a text may become empty. Rows that
-    repeat both doc_id and text count as one document and come out alike. The
-    settings are those of ``duplicate_lines``.
+    repeat both doc_id and text count as one document and come out alike; a null doc_id
+    comes before all others. Other columns, whatever their names, are passed on. Empty in,
+    empty out. The settings are those of ``duplicate_lines``.
     """
     gone = duplicate_lines(docs, doc_id, text, **settings).withColumnRenamed("rid", "_tw_rid").withColumnRenamed("gone", "_tw_gone")
     # Few texts lose lines, as a rule: then all texts need not be shuffled to meet them.
