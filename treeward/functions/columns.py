@@ -115,12 +115,16 @@ def percent_decoded(text: Column | str) -> Column:
 
 
 def rendered(template: str | Column, values: dict[str, Column | str]) -> Column:
-    """A template with each ``{name}`` replaced; names without a value stay, null values are empty."""
+    """A template with each ``{name}`` replaced; names without a value stay, null values are empty.
+
+    Values are put in once: a ``{name}`` within a value stays as it is.
+    """
     out = F.lit(template) if isinstance(template, str) else template
-    for name, value in values.items():
-        value = F.lit(value) if isinstance(value, str) else value
-        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("")))
-    return out
+    column = lambda v: F.coalesce((F.lit(v) if isinstance(v, str) else v).cast("string"), F.lit(""))
+    known = F.create_map(*(x for name, value in values.items() for x in (F.lit("{" + name + "}"), column(value))))
+    # Pieces are what lies between the names, and the names themselves.
+    pieces = F.regexp_extract_all(out, F.lit(r"(?s)\{[a-z_]+\}|\{|[^{]+"), F.lit(0))
+    return F.array_join(F.transform(pieces, lambda p: F.coalesce(F.element_at(known, p), p)), "")
 
 
 def glob_to_like(glob: str) -> str:

@@ -35,11 +35,30 @@ TEXT_CHANGES = {
     "CREATE": "created", "SETATTR": "metadata_changed", "SETXATTR": "metadata_changed", "REMOVEXATTR": "metadata_changed", "WRITE": "content_changed",
     "MOVE": "renamed", "LINK": "hardlinked", "UNLINK": "unlinked", "RMDIR": "unlinked",
 }
-#: Fixed names of text operations that concern the store itself and not its entries.
+#: The operations that a JuiceFS log names and that concern the store itself and not its entries.
 TEXT_IGNORED = (
-    "INCR_COUNTER", "SET_COUNTER", "NEW_SESSION", "CLEAN_SESSION", "REFRESH_SESSION", "COMPACT", "DELETE_SLICE", "DELETE_CHUNK", "SUSTAIN", "RELEASE",
-    "FLOCK", "PLOCK", "SET_QUOTA", "DEL_QUOTA", "FLUSH_QUOTA", "LOAD_QUOTA", "SET_DIRSTAT", "UPDATE_DIRSTAT", "SET_FORMAT", "TRUNCATE_TRASH", "ATIME",
-)
+    "ACCESS",
+    "ATTACH",
+    "CLEANSESSION",
+    "CLEANUP",
+    "CLEANUP_DELAYED_SLICES",
+    "CLEANUP_TRASH_SLICES",
+    "DELCHUNK",
+    "DELETESLICE",
+    "DELETETOKENS",
+    "DELQUOTA",
+    "DELSUSTAINED",
+    "DIRSTAT",
+    "INCR_COUNTER",
+    "INIT_ENABLE_DIRSTATS",
+    "INIT_ENABLE_USERGROUPQUOTA",
+    "LOADDUMPEDACLS",
+    "NEWSESSION",
+    "SET",
+    "SETQUOTA",
+    "STORETOKEN",
+    "UPDATETOKEN",
+)
 
 
 def decode_records(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -60,7 +79,8 @@ def decode_text(lines: DataFrame, col: str = "value") -> tuple[DataFrame, DataFr
     """(changes, rejects) of text records ``sec.frac|OP(a,b,..):result|rest``.
 
     Names are percent-decoded. Wrong numbers of arguments, unknown operations and entry
-    types, and what is no number where one must be are rejected; internal operations vanish.
+    types, what is no number where one must be, and what has no result where that is the
+    object are rejected; internal operations vanish.
     """
     value = F.col(col)
     pattern = r"^(-?\d+)(?:\.[^|]*)?\|([A-Za-z_]+)\(([^|]*)\)(?::([^|]*))?(?:\|.*)?$"
@@ -92,7 +112,7 @@ def decode_text(lines: DataFrame, col: str = "value") -> tuple[DataFrame, DataFr
         },
     )
     need = F.col("time").isNotNull() & F.col("change").isNotNull() & (F.size("a") == coded("op", TEXT_OPS))
-    need &= F.col("object_id").isNotNull() | op.isin("UNLINK", "RMDIR")
+    need &= F.col("object_id").isNotNull()
     named = op.isin("CREATE", "MOVE", "LINK", "UNLINK", "RMDIR")
     need &= ~named | (F.col("parent_id").isNotNull() & F.col("name").isNotNull())
     need &= (op != "CREATE") | (F.col("kind").isNotNull() & F.col("uid").isNotNull() & F.col("gid").isNotNull() & F.col("mode").isNotNull())

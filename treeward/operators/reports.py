@@ -78,10 +78,15 @@ def stripes_with_entries(entries: DataFrame, stripes: DataFrame) -> DataFrame:
 
 
 def stripe_distribution(entries: DataFrame, stripes: DataFrame, fs: str) -> DataFrame:
-    """``(ost_index, files, total_size)``: stripes of each target, sizes shared among an object's stripes."""
-    rows = stripes_with_entries(of_filesystem(entries, fs), of_filesystem(stripes, fs)).filter("stripe_count > 0")
-    share = F.expr("size div stripe_count")
-    sums = rows.groupBy("ost_index").agg(F.count("*").alias("files"), F.sum(share).alias("total_size"))
+    """``(ost_index, files, total_size)``: stripes of each target, sizes shared among an object's stripes.
+
+    Shares have four decimals, their sum is rounded once. Rows of objects without a
+    stripe count are counted and have no share.
+    """
+    rows = stripes_with_entries(of_filesystem(entries, fs), of_filesystem(stripes, fs))
+    tenthousandths = F.expr("CASE WHEN stripe_count > 0 THEN (20000 * size + stripe_count) div (2 * stripe_count) END").cast("decimal(28,0)")
+    sums = rows.groupBy("ost_index").agg(F.count("*").alias("files"), F.coalesce(F.sum(tenthousandths), F.lit(0)).alias("_sum"))
+    sums = sums.select("ost_index", "files", F.expr("(_sum + 5000) div 10000").cast("long").alias("total_size"))
     return sums.orderBy(F.desc("total_size"), "ost_index")
 
 

@@ -295,7 +295,7 @@ def ag7_size_profile(spark, d):
     return reports.size_profile(entries(spark, d), "fs-a")
 
 
-@query("SELECT ost_index, count(*) AS files, CAST(sum(size // stripe_count) AS BIGINT) AS total_size FROM stripes s JOIN entries_flat e ON e.filesystem_id = s.filesystem_id AND e.object_id = s.object_id WHERE stripe_count > 0 GROUP BY ost_index", E_, S_)
+@query("SELECT ost_index, count(*) AS files, CAST((coalesce(sum((20000 * size + stripe_count) // (2 * stripe_count)) FILTER (stripe_count > 0), 0) + 5000) // 10000 AS BIGINT) AS total_size FROM stripes s JOIN entries_flat e ON e.filesystem_id = s.filesystem_id AND e.object_id = s.object_id GROUP BY ost_index", E_, S_)
 def ag8_stripe_distribution(spark, d):
     return reports.stripe_distribution(entries(spark, d), derived(spark, d, "stripes"), "fs-a")
 
@@ -700,17 +700,18 @@ def ch1_decode_records(spark, d):
 TEXT_SQL = """
 SELECT idx, CASE WHEN idx % 50 = 0 THEN 'bad' || idx ELSE time || '.5|' || CASE kind
  WHEN 'CREAT' THEN 'CREATE(' || parent_id || ',f%2C' || idx || ',' || uid || ',' || gid || ',1,420,0,0,0,0):' || object_id WHEN 'MKDIR' THEN 'CREATE(' || parent_id || ',d+' || idx || ',' || uid || ',' || gid || ',99,420,0,0,0,0):' || object_id
- WHEN 'RENME' THEN 'MOVE(' || src_parent_id || ',a%20b,' || parent_id || ',' || name || ',0,0,0):' || object_id WHEN 'HLINK' THEN 'LINK(' || object_id || ',' || parent_id || ',' || name || ',0)' WHEN 'UNLNK' THEN 'UNLINK(' || parent_id || ',' || name || ',0,0,0)'
- WHEN 'RMDIR' THEN 'RMDIR(' || parent_id || ',' || name || ')' WHEN 'SATTR' THEN 'SETATTR(' || object_id || ',1,0,1,1,420,0,1,1,0,0,1,0,0)' WHEN 'XATTR' THEN 'REMOVEXATTR(' || object_id || ',k)' WHEN 'CLOSE' THEN 'WRITE(' || object_id || ',0,0,0,0,0,0)' ELSE 'INCR_COUNTER(a,1)' END || '|(1,2)' END AS value FROM {changes}
+ WHEN 'RENME' THEN 'MOVE(' || src_parent_id || ',a%20b,' || parent_id || ',' || name || ',0,0,0):' || object_id WHEN 'HLINK' THEN 'LINK(' || object_id || ',' || parent_id || ',' || name || ',0)' WHEN 'UNLNK' THEN 'UNLINK(' || parent_id || ',' || name || CASE WHEN idx % 7 = 0 THEN ',0,0,0)' ELSE ',0,0,0):' || object_id END
+ WHEN 'RMDIR' THEN 'RMDIR(' || parent_id || ',' || name || ')' -- too few arguments
+  WHEN 'SATTR' THEN 'SETATTR(' || object_id || ',1,0,1,1,420,0,1,1,0,0,1,0,0)' WHEN 'XATTR' THEN 'REMOVEXATTR(' || object_id || ',k)' WHEN 'CLOSE' THEN 'WRITE(' || object_id || ',0,0,0,0,0,0)' WHEN 'CTIME' THEN 'NEWSESSION(1,x)' WHEN 'MTIME' THEN 'SETQUOTA(1,2,3)' WHEN 'TRUNC' THEN 'NEW_SESSION(1)' ELSE 'INCR_COUNTER(a,1)' END || '|(1,2)' END AS value FROM {changes}
 """
 
 
 @query(f"""
 SELECT idx, time, change, object_id, parent_id, name, src_name, false AS rejected FROM (
 SELECT idx, time, CASE kind WHEN 'CREAT' THEN 'created' WHEN 'RENME' THEN 'renamed' WHEN 'HLINK' THEN 'hardlinked' WHEN 'UNLNK' THEN 'unlinked' WHEN 'SATTR' THEN 'metadata_changed' WHEN 'XATTR' THEN 'metadata_changed' WHEN 'CLOSE' THEN 'content_changed' END AS change,
- CASE WHEN kind <> 'UNLNK' THEN object_id END AS object_id, CASE WHEN kind IN ('CREAT', 'RENME', 'HLINK', 'UNLNK') THEN parent_id END AS parent_id,
- CASE WHEN kind = 'CREAT' THEN 'f,' || idx WHEN kind IN ('RENME', 'HLINK', 'UNLNK') THEN name END AS name, CASE WHEN kind = 'RENME' THEN 'a b' END AS src_name FROM changes WHERE idx % 50 <> 0) WHERE change IS NOT NULL
-UNION ALL SELECT idx, NULL, NULL, NULL, NULL, NULL, NULL, true FROM changes WHERE idx % 50 = 0 OR kind IN ('MKDIR', 'RMDIR')
+ object_id, CASE WHEN kind IN ('CREAT', 'RENME', 'HLINK', 'UNLNK') THEN parent_id END AS parent_id,
+ CASE WHEN kind = 'CREAT' THEN 'f,' || idx WHEN kind IN ('RENME', 'HLINK', 'UNLNK') THEN name END AS name, CASE WHEN kind = 'RENME' THEN 'a b' END AS src_name FROM changes WHERE idx % 50 <> 0 AND NOT (kind = 'UNLNK' AND idx % 7 = 0)) WHERE change IS NOT NULL
+UNION ALL SELECT idx, NULL, NULL, NULL, NULL, NULL, NULL, true FROM changes WHERE idx % 50 = 0 OR kind IN ('MKDIR', 'RMDIR', 'TRUNC') OR kind = 'UNLNK' AND idx % 7 = 0
 """, "changes")
 def ch2_decode_text(spark, d):
     lines = spark.sql(TEXT_SQL.replace("||", "||"), changes=derived(spark, d, "changes"))
