@@ -121,6 +121,20 @@ def test_near_components_of_dense_fingerprints(spark):
     assert got == want
 
 
+def test_unrelated_fingerprints_of_one_block(spark):
+    """Thousands agree in half of their bits and are no nearer, but for a few."""
+    rng = random.Random(22)
+    half = sum(1 << b for b in range(32))
+    fps = [rng.getrandbits(32) << 32 | 0x5A5A5A5A for _ in range(3000)]
+    fps += [f ^ (1 << rng.randrange(32, 64)) ^ (1 << rng.randrange(64)) for f in fps[:20]]
+    assert all(f & half for f in fps)
+    nodes = spark.createDataFrame([(i, f - (1 << 64) * (f >> 63)) for i, f in enumerate(fps)], "id long, fp long")
+    got = {r.id: r.component for r in simhash.near_components(nodes).collect()}
+    a = np.array(fps, dtype=np.uint64)
+    near = [(i, int(j)) for i in range(len(fps)) for j in np.flatnonzero(np.bitwise_count(a[i + 1 :] ^ a[i]) <= 3) + i + 1]
+    assert len(near) >= 20 and got == find_groups(near)
+
+
 def test_simhash_empty_and_repeated(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
     twice = docs(spark, ["a b c d", "e f g h"]).unionByName(docs(spark, ["a b c d"]))
@@ -403,6 +417,47 @@ def test_decontamination(spark):
     assert decontam.contaminated(docs(spark, texts), frame.limit(0)).count() == 0
 
 
+def test_common_phrases_bring_nothing_together(spark):
+    rng = random.Random(20)
+    items = spark.createDataFrame([(i, f"which of the following {prose(rng, 20)}") for i in range(400)], "item_id long, text string")
+    texts = docs(spark, [f"{prose(rng, 30)} which of the {prose(rng, 30)}" for _ in range(500)])
+    grams = common.staged(decontam.item_grams(decontam.item_words(items)), "grams")
+    rows = texts.select("doc_id", "text")
+    seeds = decontam.rare(grams, decontam.counts(rows, grams))
+    phrase = wordhash.ngrams(wordhash.word_hashes("which of the"), 3).view(np.int64)[0]
+    assert grams.filter(F.col("gram") == int(phrase)).count() == 400 and seeds.filter(F.col("gram") == int(phrase)).count() == 0
+    assert 2 * seeds.count() >= grams.count() and decontam.contaminated(texts, items).count() == 0
+
+
+def test_recall_of_edited_copies(spark):
+    """All copies that align as a whole are found, a word of three, four or five changed, lost or put in."""
+    rng = random.Random(21)
+    items = [prose(rng, n) for n in (12, 20, 30, 45, 60) for _ in range(4)]
+    texts, where = [], []
+    for k, item in enumerate(items):
+        for step in (3, 4, 5):
+            for edit in (lambda w: ["other"], lambda w: [], lambda w: [w, "more"]):
+                words = [x for i, w in enumerate(item.split()) for x in (edit(w) if i % step == step - 1 else [w])]
+                texts.append(f"{prose(rng, 40)} {' '.join(words)} {prose(rng, 40)}")
+                where.append(k)
+    want = set()
+    for d, k in enumerate(where):
+        own, text = wordhash.word_hashes(items[k]).tolist(), wordhash.word_hashes(texts[d]).tolist()
+        if slow_align(text, own) >= len(own):
+            want.add((d, k))
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    assert len(want) > 150 and len(got & want) >= 0.98 * len(want), (len(got & want), len(want))
+    assert got <= want | {(d, k) for d, k in got if slow_align(wordhash.word_hashes(texts[d]).tolist(), wordhash.word_hashes(items[k]).tolist()) >= items[k].count(" ") + 1}
+
+
+def test_texts_that_are_not_utf8(spark):
+    rows = spark.range(1).select(F.col("id").alias("doc_id"), F.expr("cast(X'6F6E65FF2074776F' as string)").alias("text"))
+    items = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
+    assert decontam.contaminated(rows, items).count() == 0
+    assert copies.near_copies(rows).count() == 1 and simhash.near_duplicates(rows).count() == 1
+    assert licenses.license_spans(rows).count() == 0 and bpe.encode(rows, queries.vocabulary()).count() == 1
+
+
 def test_hot_passage(spark):
     rng = random.Random(13)
     item = prose(rng, 30)
@@ -525,11 +580,63 @@ def test_html(spark):
     rows += [(6, None, None), (7, "", ""), (8, "http://one.example/", "<p>bare<p>page"), (9, "http://two.example/", "<article><p>cut of"), (10, "x", "</div></p>< a <b")]
     got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(1))).collect()}
     for i, (_, text) in bodies.items():
-        assert got[i] == text or not text, (i, got[i])
+        assert got[i] == text, (i, got[i])
     assert got[6] == got[7] == "" and got[8] == "bare\npage" and got[9] == "cut of" and got[10] == "< a <b"
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_template_decides(spark):
+    """No element or class says what is menu or article: only that the one is the same on all pages."""
+    rng = random.Random(23)
+    body = [prose(rng, 30) for _ in range(30)]
+    make = lambda i: f'<html><body class="has-sidebar"><div class="top">Home About us</div><div class="x">{body[i]}<div class="y">Share it</div></div><div class="btm">Copyright, all rights</div></body></html>'
+    rows = [(i, "http://a.example/p", make(i)) for i in range(30)] + [(99, "http://b.example/", make(3)), (100, None, make(4)), (None, "http://a.example/q", None)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {i: got[i] for i in range(30)} == dict(enumerate(body))
+    assert got[99] == body[3] and got[100] == body[4] and got[None] == ""
+    alone = html.extract(spark.createDataFrame(rows[30:31], "page_id long, url string, html string")).first()
+    assert alone.text == f"Home About us\n{body[3]}\nShare it\nCopyright, all rights"
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet").limit(50).collect()
+    assert sum(html.main_text(r.html) != t.text for r, t in zip(pages, [x for x in queries.op7_html_extraction(spark, SMALL).collect() if x.page_id in {p.page_id for p in pages}], strict=True)) > 25
+
+
+def test_classes_equal_brute_force(spark):
+    rng = random.Random(24)
+    pages = []
+    for i in range(12):
+        parts = [f'<div class="{c}">{prose(rng, 3)}</div>' * rng.choice((1, 1, n)) for c, n in (("a", 1), ("b", 2), ("c", 3)) if rng.random() < 0.9]
+        pages.append((i, f"http://h{i % 2}.example/", f"<html><body>{''.join(parts)}<article><h1>{i}</h1><p>{prose(rng, 40)}</p></article></body></html>"))
+    frame = spark.createDataFrame(pages, "page_id long, host string, html string").withColumn("host", F.regexp_extract("host", "//([^/]*)", 1))
+    got = {r.host: (sorted(r.slots), sorted(r.constant)) for r in html.templates(frame).filter(F.col("host") != html.ALL).collect()}
+    import pandas as pd
+
+    for host in ("h0.example", "h1.example"):
+        per = {}
+        for i, url, page in pages:
+            if host in url:
+                for t in html.tokens(page):
+                    per.setdefault(t[0], {})[i] = t
+        rows = []
+        for t, on in per.items():
+            if len(on) >= html.SUPPORT and all(x[3] == 1 for x in on.values()):
+                rows.append({"token": t, "parent": on[min(on)][1], "kind": on[min(on)][2], "on": len(on), "letters": sum(x[4] for x in on.values()), "constant": len({x[5] for x in on.values()}) == 1 and len(on) >= html.CONSTANT})
+        want = html.article_slots(pd.DataFrame([r for r in rows if r["letters"] or len(per) > 1]))
+        assert got[host] == (sorted(want[0]), sorted(want[1]))
+
+
+def test_long_and_deep_pages_end_soon(spark):
+    import time
+
+    began = time.monotonic()
+    assert html.main_text('<a "' * 200_000) == '<a "' * 200_000
+    assert html.main_text('<a x="' * 200_000 + ">") == ""
+    assert html.main_text("<div>" * 100_000 + "x" + "</i>" * 100_000) == "x"
+    assert html.main_text("<b>" * 100_000 + "<p>x" * 1000).count("x") == 1000
+    assert len(html.tokens("<div>" * 100_000 + "x")) == 100_000
+    assert html.main_text("<p>" + "word " * 500_000) == ("word " * 500_000).strip()
+    assert time.monotonic() - began < 60
+
+
 def test_html_of_the_tables(spark):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
     got = {r.page_id: r.text for r in queries.op7_html_extraction(spark, SMALL).collect()}

@@ -39,6 +39,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def strings(column) -> list[str | None]:
+    """The texts of an Arrow column; bytes that are not UTF-8, which Spark lets through, become U+FFFD."""
+    try:
+        return column.to_pylist()
+    except UnicodeDecodeError:
+        return [None if x is None else x.decode("utf-8", "replace") for x in column.cast("large_binary").to_pylist()]
+
+
 def crc32_mod(col: Column | str, n: int) -> Column:
     """crc32 of a value as text, modulo ``n``; null counts as empty text."""
     return F.crc32(F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")).cast("string")) % F.lit(n)
