@@ -29,6 +29,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import strings
+
 END = "</w>"
 #: Fixed values of the vocabulary's kind: its split pattern.
 #: The same for texts of Latin-1 characters, in which it is faster.
@@ -288,7 +290,7 @@ def _run(docs: DataFrame, path: str, doc_id: str, text: str, schema: str) -> Dat
         for whole in it:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
-                found = bpe.encode_all([x.as_py() or "" for x in b.column(1)])
+                found = bpe.encode_all([x or "" for x in strings(b.column(1))])
                 if "ids" in names:
                     rows = [(np.frombuffer(i, dtype="<u4").astype(np.int64), d.decode()) for i, d in found]
                     columns = [pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.string())]

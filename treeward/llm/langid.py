@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import staged, strings
 from .wordhash import STEP, mixed
 
 BUCKET_BITS = 16
@@ -160,7 +160,7 @@ def train(docs: DataFrame, lang: str = "lang", per_language: int = SAMPLE_PER_LA
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            bags = [bag(x.as_py()) for x in b.column(0)]
+            bags = [bag(x) for x in strings(b.column(0))]
             columns = [pa.array([x[k].astype(np.int32) for x in bags], pa.list_(pa.int32())) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([b.column(1), *columns], ["lang", "at", "n"])
 
@@ -182,7 +182,7 @@ def identify(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            found = [shared.value.predict(x.as_py()) for x in b.column(1)]
+            found = [shared.value.predict(x) for x in strings(b.column(1))]
             columns = list(zip(*found, strict=True)) if found else [[]] * 3
             types = (pa.string(), pa.float64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["doc_id", "lang_pred", "score", "accepted"])

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import strings
 from .wordhash import ngrams, word_hashes
 
 # Notices as licences word them.
@@ -147,7 +148,7 @@ def license_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n
         names = ["doc_id", "license", "start_word", "end_word", "containment"]
         types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64())
         for b in it:
-            rows = list(templates.scan(b.column(1).to_pylist()))
+            rows = list(templates.scan(strings(b.column(1))))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
             ids = b.column(0).take(pa.array(columns[0], pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(columns[1:], types[1:], strict=True))], names)

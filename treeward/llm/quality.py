@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import staged, strings
 
 #: At most so many labelled rows are learned from, chosen by the hash of their id.
 SAMPLE = 20_000
@@ -112,7 +112,7 @@ def features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            values = [statistics(x.as_py()) for x in b.column(1)]
+            values = [statistics(x) for x in strings(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(values, pa.list_(pa.float64()))], ["doc_id", "features"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -123,10 +123,13 @@ def train(found: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
     """Fit on ``found`` (doc_id, features) and ``labels`` (doc_id, quality).
 
     A document that is labelled more than once counts once, with the majority (1 if
-    even); null labels count not at all. At most ``sample`` labelled rows are used.
+    even); null labels count not at all. At most ``sample`` labels are used; of several
+    texts that share an id the one of the least statistics is learned from.
     """
     known = labels.dropna(subset=["doc_id", "quality"]).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
-    rows = known.join(found.dropDuplicates(["doc_id"]), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).toArrow()
+    # The labels are chosen first: then only their documents' rows meet.
+    chosen = staged(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "chosen")
+    rows = found.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("features").alias("features"), F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
     if not rows.num_rows:
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0))
     x = np.array(rows["features"].combine_chunks().flatten()).reshape(-1, len(FEATURES))
