@@ -67,6 +67,11 @@ def hamming(a: str | Column, b: str | Column) -> Column:
     return F.bit_count(col(a).bitwiseXOR(col(b)))
 
 
+def signed(mask: int, bits: int = BITS) -> int:
+    """The same bits as a signed number."""
+    return mask - (1 << bits) if mask >> (bits - 1) else mask
+
+
 def block_masks(blocks: int, differ: int, bits: int = BITS) -> list[int]:
     """Signed masks of every choice of ``blocks - differ`` blocks out of ``blocks``.
 
@@ -75,7 +80,7 @@ def block_masks(blocks: int, differ: int, bits: int = BITS) -> list[int]:
     cuts = [bits * i // blocks for i in range(blocks + 1)]
     own = [(1 << hi) - (1 << lo) for lo, hi in zip(cuts, cuts[1:], strict=False)]
     chosen = (reduce(int.__or__, c) for c in combinations(own, blocks - differ))
-    return [m - (1 << bits) if m >> (bits - 1) else m for m in chosen]
+    return [signed(m, bits) for m in chosen]
 
 
 def block_keys(nodes: DataFrame, masks: list[int]) -> DataFrame:
@@ -101,7 +106,9 @@ def near_components(
     2. The ids of fuller keys link to the smallest id of the key: a star, so a
        group of n near copies gives n pairs and not n^2.
     3. Only keys whose ids still belong to several groups are joined with
-       themselves, and only across groups: what a star has missed is found here.
+       themselves, and only across groups: what a star has missed is found here. Of
+       the rows of a key only those meet that agree in two of ``differ + 2`` shares of
+       all bits as well, so that a key with many unrelated members makes few pairs.
 
     Nulls among ids or fingerprints take no part. The keys have 64 bits of which at
     least ``(blocks - differ) / blocks`` come from the fingerprint, so chance
@@ -128,12 +135,18 @@ def near_components(
         return groups
     members = members.select("key", "id", "fp").distinct().join(groups, "id", "left")
     members = staged(members.withColumn("component", F.coalesce("component", "id")), "grouped")
+    # Members of a key agree in half of their bits. Shares of all bits, one in so many, tell
+    # them apart anew: pairs meet only if they agree in some of these as well.
+    shares = [sum(1 << b for b in range(k, BITS, differ + 2)) for k in range(differ + 2)]
+    shares = [signed(reduce(int.__or__, c)) for c in combinations(shares, 2)]
     open_keys = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    rest = members.join(open_keys, "key")
-    other = rest.toDF(*(c if c == "key" else f"{c}_b" for c in rest.columns))
+    parts = F.array(*(F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(shares)))
+    rest = staged(members.join(open_keys, "key").withColumn("part", F.explode(parts)), "rest")
+    other = rest.toDF(*(f"{c}_b" for c in rest.columns))
     across = rest.join(
         other,
-        (rest["key"] == other["key"])
+        (rest["key"] == other["key_b"])
+        & (rest["part"] == other["part_b"])
         & (rest["component"] < other["component_b"])
         & (hamming(rest["fp"], other["fp_b"]) <= differ),
     ).select(F.col("id").alias("a"), F.col("id_b").alias("b"))
