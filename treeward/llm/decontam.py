@@ -215,7 +215,7 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     out = None
     for k in range(blocks):
         block = lambda df: df if blocks == 1 else df.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)  # noqa: B023, E731
-        seeds = rare(block(grams), counts(texts, block(grams)))
+        seeds = staged(rare(block(grams), counts(texts, block(grams))), "seeds")
         found = aligned(texts, seeds, block(words), min_score)
         out = found if out is None else out.unionByName(found)
     return out
