@@ -1,9 +1,9 @@
 """Fuzzy line deduplication.
 
 Lines are lower-cased, freed of common punctuation and cut into words. A line's
-fingerprint is a set of SimHashes, one for each window of a few neighbouring words: a bit
-is 1 if most of the window's word hashes have it. These are its pigeonhole blocks, as an
-edit spoils no more of them than a window has words. Lines that share one of the blocks
+fingerprint is a set of SimHashes, one for each window of a few words: a bit is 1 if most
+of the window's word hashes have it. These are its pigeonhole blocks, as an edit spoils
+no more of them than a window has words. Lines that share one of the blocks
 that come first in an order of all blocks are compared by the edit distance of their
 words, and of each connected group one occurrence stays. One SimHash of a whole line would
 not do: lines of edit similarity 0.8 differ in 13 of 64 bits, which no blocks can bridge.
@@ -16,30 +16,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import dropped, key_components, let, staged
-from .rules import without
 
-PUNCTUATION = ".,;:!?|*#$%&"
-#: How many numbers may be sent to every executor (16 MB or so); with more, Spark shuffles.
-SMALL = 1_000_000
+SEPARATORS = r"[ \t\r.,;:!?|*#$%&]+"
+#: How many numbers may be sent to every executor (1 MB or so); with more, as all but small corpora have, Spark shuffles.
+SMALL = 50_000
 #: Thai, Lao, Burmese, Khmer, kana and Chinese characters: no space parts their words, so each counts as a word.
 SPACELESS = r"([\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}])"
-#: Windows of three words that a line is found by: seven hold all links of lines under 15 words at similarity 0.8, as
-#: two edits spoil six; of longer lines that are just as near two in a thousand are missed.
-WINDOWS = 7
+#: Blocks that a line is found by, of two words in lines with one edit at most, of three in longer ones; in lines of
+#: ``LONG`` words or more, whose neighbours may share a passage and little else, of three words from anywhere in the line.
+PAIRS, THREES, SPREAD, LONG = 3, 7, 14, 30
 #: A word hash has 59 bits, and above them four that order words by length.
 HASH_BITS = 59
 
 
 def words_of(line: Column) -> Column:
-    """The words of a line that is in lower case and has no punctuation."""
-    return F.array_remove(F.split(line, " "), "")
+    """The words of a line that is ``plain``: what space and common punctuation part."""
+    return F.array_remove(F.split(line, SEPARATORS), "")
 
 
 def plain(text: Column) -> Column:
-    """Lower case, common punctuation gone, tabs and carriage returns as spaces, spaces around characters of SPACELESS."""
-    out = without(without(F.lower(F.coalesce(text, F.lit(""))), PUNCTUATION), "\t\r", " ")
+    """Lower case, and spaces around characters of SPACELESS."""
     # Texts of one byte a character have none of them.
-    return let(out, lambda t: F.when(F.octet_length(t) == F.length(t), t).otherwise(F.regexp_replace(t, SPACELESS, " $1 ")))
+    return let(F.lower(F.coalesce(text, F.lit(""))), lambda t: F.when(F.octet_length(t) == F.length(t), t).otherwise(F.regexp_replace(t, SPACELESS, " $1 ")))
 
 
 def bounded(df: DataFrame, numbers: Column | None = None) -> DataFrame:
@@ -54,52 +52,79 @@ def ranked_hash(word: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(word), 64 - HASH_BITS).bitwiseOR(F.shiftleft(rank.cast("long"), HASH_BITS))
 
 
-def simhash(*words: Column) -> Column:
-    """The SimHash of two or three ranked hashes, bits that more than half of them have, under the rank of the shortest word."""
-    if len(words) == 2:
-        most = words[0].bitwiseAND(words[1])
-    else:
-        a, b, c = words
-        most = a.bitwiseAND(b.bitwiseOR(c)).bitwiseOR(b.bitwiseAND(c))
-    low = (1 << HASH_BITS) - 1
-    return most.bitwiseAND(F.lit(low)).bitwiseOR(F.greatest(*words).bitwiseAND(F.lit(15 << HASH_BITS)))
+def simhash(*hashes: Column) -> Column:
+    """The SimHash of two or three words: the bits that more than half of their hashes have."""
+    if len(hashes) == 2:
+        return hashes[0].bitwiseAND(hashes[1])
+    a, b, c = hashes
+    return a.bitwiseAND(b.bitwiseOR(c)).bitwiseOR(b.bitwiseAND(c))
 
 
-def blocks(hashes: Column, least: float) -> Column:
-    """The pigeonhole blocks of a line, by its words' ranked hashes.
+def ranked_windows(hashes: Column, size: int) -> Column:
+    """The SimHash of each run of ``size`` ranked hashes, under the highest of their ranks."""
+    high, low = F.lit(15 << HASH_BITS), F.lit((1 << HASH_BITS) - 1)
 
-    Lines with so few words that those near them differ in one edit, and so in two
-    windows of two words, have three of these; others have ``WINDOWS`` of three words, and
-    lines between both. Lines too short for an edit have none.
-    """
+    def ranked(x: Column, i: Column) -> Column:
+        own = [x, *(F.get(hashes, i + k) for k in range(1, size))]
+        # By its place in the window a word counts as another: two the same would outvote the third.
+        return simhash(*(F.shiftleft(h, k) for k, h in enumerate(own))).bitwiseAND(low).bitwiseOR(F.greatest(*own).bitwiseAND(high))
+
+    return F.transform(F.slice(hashes, 1, F.size(hashes) - (size - 1)), ranked)
+
+
+def near_blocks(words: Column, least: float) -> Column:
+    """The blocks of a line of under ``LONG`` words: windows in the order of the text, those with the longest words first."""
+    n = F.size(words)
     border = 2 / (1 - least)
-    pairs = lambda h: F.transform(F.slice(h, 1, F.size(h) - 1), lambda x, i: simhash(x, F.get(h, i + 1)))
-    threes = lambda h: F.transform(F.slice(h, 1, F.size(h) - 2), lambda x, i: simhash(x, F.get(h, i + 1), F.get(h, i + 2)))
-    first = lambda b, n: F.slice(F.sort_array(F.array_distinct(b)), 1, n)
+    first = lambda b, k: F.slice(F.sort_array(F.array_distinct(b)), 1, k)
     none = F.expr("cast(array() as array<bigint>)")
-    low, high = round(least * border / 2, 6), round(border, 6)
+    start = lambda x, least_words: F.greatest(F.lit(round(x, 6)), F.lit(least_words))
+    pairs = lambda h: F.when((n >= start(least * border / 2, 2)) & (n < round(border, 6)), first(ranked_windows(h, 2), PAIRS)).otherwise(none)
+    threes = lambda h: F.when(n >= start(least * border, 3), first(ranked_windows(h, 3), THREES)).otherwise(none)
+    return F.when(n < LONG, let(F.transform(words, ranked_hash), lambda h: F.concat(pairs(h), threes(h)))).otherwise(none)
 
-    def of(h: Column) -> Column:
-        short = F.when((F.size(h) >= F.greatest(F.lit(low), F.lit(2))) & (F.size(h) < high), first(pairs(h), 3)).otherwise(none)
-        return F.when(F.size(h) >= F.greatest(F.lit(round(least * border, 6)), F.lit(3)), F.concat(first(threes(h), WINDOWS), short)).otherwise(short)
 
-    return let(hashes, of)
+def low_hashes(words: Column) -> Column:
+    """The first of the different words' ranked hashes, so that the longest words come first."""
+    return F.slice(F.sort_array(F.array_distinct(F.transform(words, ranked_hash))), 1, SPREAD + 2)
 
 
 def line_prints(rows: DataFrame, min_words: int, least: float) -> DataFrame:
-    """``(doc_id, rid, line, key, n, m0, m1, blocks)`` of all lines with ``min_words`` words or more, 1 at least.
+    """``(doc_id, rid, line, key, n, bits, near, low)`` of all lines with ``min_words`` words or more, 1 at least.
 
     ``rows`` has ``doc_id, rid, text``. ``key`` is the hash of the words, ``n`` their
-    number. ``m0`` and ``m1`` are sets of the words' hashes modulo 64; an edit adds one
-    bit at most.
+    number. ``bits`` is the set of the words' hashes modulo 64, to which an edit adds one at
+    most; in lines of ``LONG`` words or more it would be full, and is. ``near`` and
+    ``low`` are for ``line_blocks``.
     """
     # Outer explodes: a plain one has its array computed once more, for a filter below it.
     lines = rows.select("doc_id", "rid", F.posexplode_outer(F.split(plain(F.col("text")), "\n")).alias("line", "norm"))
-    lines = lines.filter(F.trim("norm") != "")
-    lines = lines.select("doc_id", "rid", "line", F.transform(words_of(F.col("norm")), ranked_hash).alias("h"))
-    bits = lambda at: F.aggregate("h", F.lit(0).cast("long"), lambda m, h: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, at).bitwiseAND(F.lit(63)).cast("int"))))
-    lines = lines.select("doc_id", "rid", "line", F.xxhash64("h").alias("key"), F.size("h").alias("n"), bits(0).alias("m0"), bits(20).alias("m1"), blocks(F.col("h"), least).alias("blocks"))
-    return lines.filter(F.col("n") >= min_words) if min_words > 1 else lines
+    lines = lines.select("doc_id", "rid", "line", words_of(F.col("norm")).alias("words"))
+    words, n = F.col("words"), F.size("words")
+    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), F.xxhash64(w).bitwiseAND(F.lit(63)).cast("int"))
+    bits = F.when(n < LONG, F.aggregate(words, F.lit(0).cast("long"), lambda m, w: m.bitwiseOR(bit(w)))).otherwise(F.lit(-1).cast("long"))
+    low = F.when(n >= round(least * LONG, 6), low_hashes(words))
+    prints = lines.select("doc_id", "rid", "line", F.xxhash64(words).alias("key"), n.alias("n"), bits.alias("bits"), near_blocks(words, least).alias("near"), low.alias("low"))
+    # Not before the table is written: the words would be made once more for the filter.
+    return staged(prints, "prints").filter(F.col("n") >= max(1, min_words))
+
+
+def line_blocks(prints: DataFrame) -> DataFrame:
+    """``(key, id)``: the pigeonhole blocks of each line.
+
+    Lines with so few words that those near them differ in one edit, and so in two
+    windows of two words, have the first ``PAIRS`` of these. Lines of two edits, which
+    spoil six windows of three words, have the first ``THREES`` of these, and so have
+    lines up to ``LONG`` words. Longer ones put their different words in the order of
+    their ranked hashes and have the first ``SPREAD`` windows of three of this ring. Lines whose
+    numbers of words may fall on either side of a border have both kinds, lines too short
+    for an edit none.
+    """
+    far = prints.select("key", "low", F.posexplode(F.slice("low", 1, SPREAD)).alias("i", "x"))
+    at = lambda k: F.get("low", F.pmod(F.col("i") + k, F.size("low")))
+    far = far.select(simhash(F.col("x"), at(1), at(2)).alias("block"), "key")
+    both = prints.select(F.explode("near").alias("block"), "key").unionByName(far)
+    return both.select(F.col("block").alias("key"), F.col("key").alias("id"))
 
 
 def spelled(words: Column) -> Column:
@@ -137,7 +162,8 @@ def alike(least: float):
     def close(a, b) -> Column:
         most = F.floor(F.greatest(a("n"), b("n")) * F.lit(round(1 - least, 6)))
         lost = lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y))) <= most
-        return (F.abs(a("n") - b("n")) <= most) & lost(a("m0"), b("m0")) & lost(b("m0"), a("m0")) & lost(a("m1"), b("m1")) & lost(b("m1"), a("m1"))
+        sets = lost(a("bits"), b("bits")) & lost(b("bits"), a("bits"))
+        return (F.abs(a("n") - b("n")) <= most) & ((F.greatest(a("n"), b("n")) >= LONG) | sets)
 
     return close
 
@@ -148,9 +174,9 @@ def line_components(rows: DataFrame, prints: DataFrame, least: float) -> DataFra
 
     def facts_of(ids: DataFrame) -> DataFrame:
         own = prints.join(bounded(ids), prints["key"] == ids["id"], "left_semi")
-        return own.groupBy(F.col("key").alias("id")).agg(F.max("n").alias("n"), F.max("m0").alias("m0"), F.max("m1").alias("m1"))
+        return own.groupBy(F.col("key").alias("id")).agg(F.max("n").alias("n"), F.max("bits").alias("bits"))
 
-    return key_components(prints.select(F.explode("blocks").alias("key"), F.col("key").alias("id")), verify, close, facts_of)
+    return key_components(line_blocks(prints), verify, close, facts_of)
 
 
 def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 1, similarity: float = 0.8) -> DataFrame:
@@ -161,7 +187,7 @@ def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     over words, the first by doc_id, row hash and line number stays.
     """
     rows = with_rid(docs, doc_id, text)
-    prints = staged(line_prints(rows, min_words, similarity), "prints")
+    prints = line_prints(rows, min_words, similarity)
     groups = line_components(rows, prints, similarity)
     again = prints.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     named = again.join(groups, again["key"] == groups["id"], "full").select(F.coalesce("key", "id").alias("key"), F.coalesce("component", "key").alias("component"))
