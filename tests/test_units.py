@@ -1,5 +1,7 @@
 """Values of single operators on small tables."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 from treeward.functions import columns as C
@@ -320,6 +322,116 @@ def test_rename_displaces(spark):
     assert values(state.removed, "object_id") == [(5,)]
 
 
+def plain_batch(entries, edges, events):
+    """``apply_batch`` one event after the other: ({id: (parent, name, nlink)}, {(parent, name): id}, removed ids)."""
+    entries, edges, removed = {k: list(v) for k, v in entries.items()}, dict(edges), set()
+
+    def remove(o):
+        if entries.pop(o, None):
+            removed.add(o)
+        for k in [k for k, v in edges.items() if v == o]:
+            del edges[k]
+
+    for e in sorted(events, key=lambda e: e["idx"]):
+        o, at, change = e["object_id"], (e["parent_id"], e["name"]), e["change"]
+        if change == "created":
+            entries[o], edges[at] = [*at, 1], o
+        elif change == "hardlinked" and o in entries and at not in edges:
+            edges[at] = o
+            entries[o][2] += 1
+        elif change == "unlinked" and e["last_link"]:
+            remove(o)
+        elif change == "unlinked" and edges.get(at) == o:
+            del edges[at]
+            entries[o][2] -= 1
+        elif change == "renamed":
+            if edges.get(at, o) != o:
+                remove(edges[at])
+            src = (e["src_parent_id"], e["src_name"])
+            if edges.get(src) == o:
+                del edges[src]
+            edges[at] = o
+            entries[o][:2] = at
+    return {k: tuple(v) for k, v in entries.items()}, edges, removed
+
+
+EVENT = "filesystem_id string, source string, idx long, object_kind int, object_id long, change string, parent_id long, name string, src_parent_id long, src_name string, last_link boolean, time long, entry_kind int, uid long, gid long, mode long, hsm_event int, hsm_flags int, hsm_error int"
+
+
+def event(idx, change, o, at, src=(None, None), last=False):
+    return {"filesystem_id": "a", "source": "s", "idx": idx, "object_kind": 0, "object_id": o, "change": change, "parent_id": at[0], "name": at[1], "src_parent_id": src[0], "src_name": src[1], "last_link": last, "time": 5, "entry_kind": 0, "uid": 1, "gid": 1, "mode": 420}
+
+
+def batch_result(spark, entries, edges, events):
+    from treeward.sources import schema
+
+    base = {"filesystem_id": "a", "object_kind": 0, "kind": 0, "size": 1, "ctime": 1}
+    rows = [base | {"object_id": o, "parent_id": v[0], "name": v[1], "nlink": v[2]} for o, v in entries.items()]
+    table = lambda rows, kind: spark.createDataFrame([tuple(r.get(f.name) for f in kind) for r in rows], kind)
+    links = [{"filesystem_id": "a", "object_kind": 0, "parent_id": k[0], "name": k[1], "object_id": v} for k, v in edges.items()]
+    kind = spark.createDataFrame([], EVENT).schema
+    df = table(rows, schema.ENTRY)
+    state = apply.State(df, table(links, schema.EDGE), df.limit(0).withColumn("rm_time", F.lit(0).cast("long")))
+    out = apply.apply_batch(state, table(events, kind), spark.createDataFrame([], schema.OBSERVATION), NOW)
+    got = {r.object_id: (r.parent_id, r.name, r.nlink) for r in out.entries.collect()}
+    return got, {(r.parent_id, r.name): r.object_id for r in out.edges.collect()}, {r.object_id for r in out.removed.collect()}
+
+
+def test_batch_rotates_names(spark):
+    """log -> log.1, then log.tmp -> log; the object that was log stays under its new name."""
+    entries, edges = {4: (1, "log", 1), 5: (1, "log.tmp", 1), 6: (1, "log.1", 1)}, {(1, "log"): 4, (1, "log.tmp"): 5, (1, "log.1"): 6}
+    ev = [event(1, "renamed", 4, (1, "log.1"), (1, "log")), event(2, "renamed", 5, (1, "log"), (1, "log.tmp"))]
+    got = batch_result(spark, entries, edges, ev)
+    assert got == ({4: (1, "log.1", 1), 5: (1, "log", 1)}, {(1, "log.1"): 4, (1, "log"): 5}, {6})
+    assert got == plain_batch(entries, edges, ev)
+
+
+def test_batch_unlinks_before_rename(spark):
+    """A name that its object has left is free: the object keeps its other link."""
+    entries, edges = {4: (1, "a", 2), 5: (1, "c", 1)}, {(1, "a"): 4, (1, "b"): 4, (1, "c"): 5}
+    ev = [event(1, "unlinked", 4, (1, "a")), event(2, "renamed", 5, (1, "a"), (1, "c"))]
+    got = batch_result(spark, entries, edges, ev)
+    assert got == ({4: (1, "a", 1), 5: (1, "a", 1)}, {(1, "b"): 4, (1, "a"): 5}, set())
+    assert got == plain_batch(entries, edges, ev)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_batch_equals_plain_loop(spark, seed):
+    rng = random.Random(seed)
+    entries = {o: (1, f"n{o}", 1) for o in range(10, 22)}
+    edges = {(1, f"n{o}"): o for o in entries}
+    now, held, ev, fresh = {o: {v[:2]} for o, v in entries.items()}, dict(edges), [], 100
+    names = [(1, f"n{i}") for i in range(10, 30)]
+    for idx in range(60):
+        what, free = rng.choice(["created", "hardlinked", "unlinked", "renamed", "renamed"]), [n for n in names if n not in held]
+        if what == "created" and free:
+            at, fresh = rng.choice(free), fresh + 1
+            ev.append(event(idx, what, fresh, at))
+            held[at], now[fresh] = fresh, {at}
+        elif what == "hardlinked" and free and held:
+            at, o = rng.choice(free), rng.choice(sorted(held.values()))
+            ev.append(event(idx, what, o, at))
+            held[at] = o
+            now[o].add(at)
+        elif what == "unlinked" and held:
+            at = rng.choice(sorted(held))
+            o = held.pop(at)
+            now[o].discard(at)
+            ev.append(event(idx, what, o, at, last=not now[o]))
+        elif what == "renamed" and held:
+            src = rng.choice(sorted(held))
+            o = held[src]
+            # An object of several names is not displaced: its other names would outlive it on a real system.
+            at = rng.choice([n for n in names if n not in held or len(now[held[n]]) == 1 and held[n] != o] or [src])
+            ev.append(event(idx, what, o, at, src))
+            if at in held:
+                now[held[at]].discard(at)
+            del held[src]
+            held[at] = o
+            now[o] = now[o] - {src} | {at}
+    assert batch_result(spark, entries, edges, ev) == plain_batch(entries, edges, ev)
+
+
 def test_batch_twice_is_once(spark):
     from .conftest import SMALL
 
