@@ -187,11 +187,14 @@ def jo1_stripe_entries(spark, d):
 
 
 @query("""
-WITH RECURSIVE t AS (SELECT object_id FROM entries_flat WHERE filesystem_id = 'fs-a' AND object_id = 11 UNION SELECT e.object_id FROM entries_flat e JOIN t ON e.parent_id = t.object_id WHERE e.filesystem_id = 'fs-a') SELECT object_id FROM t
+WITH RECURSIVE t AS (SELECT object_id AS root, object_id FROM entries_flat WHERE filesystem_id = 'fs-a' AND kind = 1
+  UNION SELECT t.root, e.object_id FROM entries_flat e JOIN t ON e.parent_id = t.object_id WHERE e.filesystem_id = 'fs-a') SELECT root, object_id FROM t
 """, E_)
 def jo3_descendants(spark, d):
-    roots = spark.createDataFrame([("fs-a", 11)], "filesystem_id string, object_id long")
-    return namespace.subtree_members(entries(spark, d), roots).select("object_id")
+    """What lies below each directory, itself included."""
+    e = entries(spark, d)
+    roots = e.filter("filesystem_id = 'fs-a' AND kind = 1").select("filesystem_id", "object_id")
+    return namespace.subtree_members(e, roots).select("root", "object_id")
 
 
 @query(f"SELECT object_id, parent_id, name FROM {E_} WHERE {A}")
@@ -221,18 +224,17 @@ def jo6_lookup_child(spark, d):
     return reports.lookup_children(g, probes).select("parent_id", "name", "object_id")
 
 
-@query("SELECT object_id, string_agg(parent_id || '/' || name, ',' ORDER BY parent_id, name) AS names FROM edges WHERE filesystem_id = 'fs-a' AND object_id % 2 = 0 GROUP BY object_id", "edges")
+@query("SELECT filesystem_id, object_id, string_agg(parent_id || '/' || name, ',' ORDER BY parent_id, name) AS names FROM edges GROUP BY filesystem_id, object_id", "edges")
 def jo7_edges_of(spark, d):
     g = derived(spark, d, "edges")
-    rows = reports.edges_of(g, g.filter("filesystem_id = 'fs-a' AND object_id % 2 = 0"))
+    rows = reports.edges_of(g, g)
     names = F.array_join(F.transform("names", lambda x: F.concat(x["parent_id"].cast("string"), F.lit("/"), x["name"])), ",")
-    return rows.select("object_id", names.alias("names"))
+    return rows.select(*ID, names.alias("names"))
 
 
-@query(f"SELECT filesystem_id, object_id, size FROM {E_} WHERE {A} AND object_id % 13 = 0")
+@query("SELECT filesystem_id, object_id, size FROM entries_flat e WHERE EXISTS (SELECT 1 FROM edges g WHERE g.filesystem_id = e.filesystem_id AND g.object_kind = e.object_kind AND g.object_id = e.object_id)", E_, "edges")
 def jo8_get_entries(spark, d):
-    e = entries(spark, d)
-    return reports.get_entries(e, e.filter("filesystem_id = 'fs-a' AND object_id % 13 = 0")).select(*ID, "size")
+    return reports.get_entries(entries(spark, d), derived(spark, d, "edges")).select(*ID, "size")
 
 
 @query(f"SELECT CAST(uid AS VARCHAR) AS key, count(*) AS count, CAST(sum(size) AS BIGINT) AS total_size, any_value(m.name) AS name FROM {E_} LEFT JOIN idmap m ON m.id = uid WHERE {A} GROUP BY uid", E_, "idmap")
@@ -466,18 +468,24 @@ WITH RECURSIVE up AS (SELECT object_id AS root, object_id FROM entries_flat WHER
 """
 
 
-@query(CLOSURE.format(root="filesystem_id = 'fs-a' AND object_id IN (10, 12, 101, 1005)") + """
-SELECT r.root, coalesce(n, 0) AS n, CAST(coalesce(bytes, 0) AS BIGINT) AS bytes FROM (SELECT unnest([10, 12, 101, 1005, 77]::BIGINT[]) AS root) r
+@query(CLOSURE.format(root="filesystem_id = 'fs-a' AND kind = 1") + """
+SELECT r.root, coalesce(n, 0) AS n, CAST(coalesce(bytes, 0) AS BIGINT) AS bytes FROM (SELECT unnest([object_id, -object_id]) AS root FROM entries_flat WHERE filesystem_id = 'fs-a' AND kind = 1) r
 LEFT JOIN (SELECT root, count(*) AS n, sum(size) AS bytes FROM up JOIN entries_flat e ON e.filesystem_id = 'fs-a' AND e.object_id = up.object_id GROUP BY root) t ON t.root = r.root
 """, E_)
 def ns1_subtree_totals(spark, d):
-    roots = spark.createDataFrame([("fs-a", i) for i in (10, 12, 101, 1005, 77)], "filesystem_id string, object_id long")
-    return namespace.subtree_totals(entries(spark, d), roots).select("root", "n", "bytes")
+    """Totals below each directory, and for as many roots that are not there."""
+    e = entries(spark, d)
+    both = F.explode(F.array("object_id", -F.col("object_id"))).alias("object_id")
+    roots = e.filter("filesystem_id = 'fs-a' AND kind = 1").select("filesystem_id", both)
+    return namespace.subtree_totals(e, roots).select("root", "n", "bytes")
 
 
-@query(CLOSURE.format(root="filesystem_id = 'fs-a' AND object_id BETWEEN 10 AND 14") + "SELECT '/fs/r' || (root - 10) AS path, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM up JOIN entries_flat e ON e.filesystem_id = 'fs-a' AND e.object_id = up.object_id GROUP BY root", E_)
+@query(CLOSURE.format(root="filesystem_id = 'fs-a'") + """
+SELECT '/fs' || l.path AS path, n, bytes FROM listing l
+JOIN (SELECT root, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM up JOIN entries_flat e ON e.filesystem_id = 'fs-a' AND e.object_id = up.object_id GROUP BY root) t ON t.root = l.object_id
+""", E_, "listing")
 def ns2_du(spark, d):
-    paths = derived(spark, d, "listing").filter("object_id BETWEEN 10 AND 14").select(F.concat(F.lit("/fs"), "path").alias("path"))
+    paths = derived(spark, d, "listing").select(F.concat(F.lit("/fs"), "path").alias("path"))
     return namespace.du(entries(spark, d), derived(spark, d, "edges"), paths, "fs-a", 1, "/fs")
 
 
