@@ -742,21 +742,26 @@ def ch3_normalize(spark, d):
     return changelog.normalize(derived(spark, d, "changes")).select("idx", "change", "entry_kind")
 
 
-ONE_SQL = "SELECT filesystem_id, source, batch_id, object_id FROM changes GROUP BY ALL HAVING count(*) FILTER (kind IN ('CREAT', 'MKDIR')) <= 1"
+ONE = "s.filesystem_id, s.source, s.batch_id, s.object_id"
+FILE_ENDS = "s.kind = 'UNLNK' AND coalesce(s.last_link, false) AND len(f.files) > 0 AND f.files[-1] > f.block"
+DIR_ENDS = "s.kind = 'RMDIR' AND len(f.dirs) > 0"
 
 
 @query(f"""
-WITH ok AS ({ONE_SQL}), c AS (SELECT c.* FROM changes c JOIN ok USING (filesystem_id, source, batch_id, object_id)),
-m AS ({MASK_SQL.replace('FROM changes', 'FROM c')}),
-p AS (SELECT a.source, a.batch_id, a.object_id, a.idx AS i, min(b.idx) AS j FROM c a JOIN c b USING (filesystem_id, source, batch_id, object_id)
-  WHERE a.idx < b.idx AND (a.kind = 'MKDIR' AND b.kind = 'RMDIR' OR a.kind = 'CREAT' AND b.kind = 'UNLNK' AND b.last_link) GROUP BY ALL),
-gone AS (SELECT i, j FROM p WHERE NOT EXISTS (SELECT 1 FROM c x JOIN c y ON y.idx = p.i WHERE x.source = p.source AND x.batch_id = p.batch_id AND x.object_id = p.object_id AND y.kind = 'CREAT' AND x.kind IN ('RENME', 'HLINK') AND x.idx > p.i AND x.idx < p.j))
-SELECT idx, kind FROM m WHERE NOT masked AND idx NOT IN (SELECT i FROM gone) AND idx NOT IN (SELECT j FROM gone)
+WITH RECURSIVE m AS ({MASK_SQL}),
+s AS (SELECT *, row_number() OVER (PARTITION BY filesystem_id, source, batch_id, object_id ORDER BY idx) AS n FROM changes WHERE kind IN ('CREAT', 'UNLNK', 'RENME', 'HLINK', 'MKDIR', 'RMDIR')),
+f AS (
+  SELECT {ONE}, 0::BIGINT AS n, []::BIGINT[] AS files, []::BIGINT[] AS dirs, -1::BIGINT AS block, []::BIGINT[] AS gone FROM s WHERE n = 1
+  UNION ALL SELECT {ONE}, s.n,
+    CASE WHEN s.kind = 'CREAT' THEN list_append(f.files, s.idx) WHEN {FILE_ENDS} THEN f.files[1:len(f.files) - 1] ELSE f.files END,
+    CASE WHEN s.kind = 'MKDIR' THEN list_append(f.dirs, s.idx) WHEN {DIR_ENDS} THEN f.dirs[1:len(f.dirs) - 1] ELSE f.dirs END,
+    CASE WHEN s.kind IN ('RENME', 'HLINK') THEN s.idx ELSE f.block END,
+    CASE WHEN {FILE_ENDS} THEN [f.files[-1], s.idx] WHEN {DIR_ENDS} THEN [f.dirs[-1], s.idx] ELSE [] END
+  FROM f JOIN s ON s.filesystem_id = f.filesystem_id AND s.source = f.source AND s.batch_id = f.batch_id AND s.object_id = f.object_id AND s.n = f.n + 1)
+SELECT idx, kind FROM m WHERE NOT masked AND idx NOT IN (SELECT unnest(gone) FROM f)
 """, "changes")
 def st3_dedup(spark, d):
-    rows = derived(spark, d, "changes")
-    few = rows.groupBy(*changelog.OBJECT).agg(F.count_if(F.col("kind").isin("CREAT", "MKDIR")).alias("n")).filter("n <= 1")
-    return changelog.dedup(rows.join(few, list(changelog.OBJECT), "left_semi")).select("idx", "kind")
+    return changelog.dedup(derived(spark, d, "changes")).select("idx", "kind")
 
 
 @query()
