@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, html, langid, licenses, lines, negatives, quality, rules, simhash
+from . import bpe, chat, decontam, html, langid, licenses, lines, negatives, quality, repair, rules, simhash
 from .common import crc32_mod
 
 
@@ -107,6 +107,30 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(rows.select("vec_id", "embedding", label.alias("label")))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The faults of every damaged conversation and its cheapest repair."""
+    turns = table(spark, sf_dir, "conversations")
+    return repair.repaired_conversations(turns, repair.damaged(turns))
+
+
+def _plus(e: str, cost: str, letter: str) -> str:
+    """SQL of a weight, twelve digits of cost before an audit, with one edit more."""
+    return f"lpad(CAST(CAST({e}[1:12] AS BIGINT) + {cost} AS VARCHAR), 12, '0') || {e}[13:] || '{letter}'"
+
+
+def _step() -> str:
+    """SQL of the four states' weights after a turn, from those before it, with what may be put in."""
+    two = f"least(s.w[3], {_plus('s.w[1]', '3', 'I')}, {_plus('s.w[2]', '3', 'I')}, {_plus('s.w[4]', '3', 'I')})"
+    return f"""
+  SELECT f.conv_id, f.n, [
+    {_plus('w0', '4', 'D')},
+    least({_plus('w1', '4', 'D')}, CASE WHEN f.i = 's' AND NOT f.del THEN {_plus('w0', 'f.t', 'K')} END),
+    least({_plus('w2', '4', 'D')}, CASE WHEN NOT f.del THEN least({_plus('least(w0, w1, w3)', '3 + f.t', 'R')}, CASE WHEN f.i = 'u' THEN {_plus('least(w0, w1, w3)', 'f.t', 'K')} END) END),
+    least({_plus('w3', '4', 'D')}, CASE WHEN NOT f.del THEN least({_plus('w2', '3 + f.t', 'R')}, CASE WHEN f.i = 'a' THEN {_plus('w2', 'f.t', 'K')} END) END)]
+  FROM (SELECT conv_id, n, w[1] AS w0, w[2] AS w1, w2, least(w[4], {_plus('w2', '3', 'I')}) AS w3 FROM (SELECT s.*, {two} AS w2 FROM s)) x
+  JOIN f ON f.conv_id IS NOT DISTINCT FROM x.conv_id AND f.n = x.n + 1"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -121,6 +145,7 @@ QUERIES = {
         op9_bpe,
         op10_decontamination,
         op11_hard_negatives,
+        op13_conversation_repair,
     )
 }
 
@@ -173,5 +198,38 @@ n AS (
     CAST(row_number() OVER (PARTITION BY p.anchor, p.other ORDER BY s.score DESC, s.other_id, s.other) AS INTEGER) AS rank
   FROM p JOIN s ON s.anchor = p.anchor AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
 SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+""",
+    "op13_conversation_repair": rf"""
+WITH RECURSIVE k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+b AS (
+  SELECT *, flatten(list_transform(string_split(name, ''), lambda x: list_transform([0, 1, 2, 3, 4, 5, 6, 7], lambda j: CAST((ascii(x) >> j) & 1 AS BIGINT)))) AS bits FROM k),
+h AS (
+  SELECT conv_id, turn, role, text, xor(list_reduce(bits, lambda a, x: xor(a >> 1, CASE WHEN xor(a & 1, x) = 1 THEN 3988292384 ELSE 0 END), CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT)) % 20 AS kind FROM b),
+d AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) FROM h WHERE kind <> 0)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM d),
+g AS (
+  SELECT *, role[1:1] AS i, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 'truncated' ELSE '' END AS fault, lag(role[1:1]) OVER (PARTITION BY conv_id ORDER BY n) || role[1:1] AS pair FROM o),
+f AS (SELECT *, fault IN ('blank', 'duplicate') AS del, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS t FROM g),
+z AS (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) AS n, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+  count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+s AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS n, ['000000000000', NULL, NULL, NULL]::VARCHAR[] AS w FROM z
+  UNION ALL {_step()}),
+e AS (
+  SELECT s.conv_id, least(w[1], w[4], {_plus('w[3]', '3', 'I')}, {_plus('w[2]', '6', 'II')}) AS best FROM s JOIN z ON z.conv_id IS NOT DISTINCT FROM s.conv_id AND z.n = s.n),
+r AS (
+  SELECT conv_id, best[13:] AS audit, CAST(best[1:12] AS BIGINT) AS cost, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS n, 0 AS state, []::VARCHAR[] AS out FROM e
+  UNION ALL
+  SELECT r.conv_id, r.audit, r.cost, r.k + 1, r.n + CASE WHEN l = 'I' THEN 0 ELSE 1 END,
+    CASE WHEN l = 'D' THEN r.state WHEN l = 'K' AND f.i = 's' THEN 1 WHEN r.state = 2 THEN 3 ELSE 2 END,
+    CASE l WHEN 'D' THEN r.out WHEN 'K' THEN list_append(r.out, f.role || ':' || f.text) ELSE list_append(r.out, CASE WHEN r.state = 2 THEN 'assistant:' ELSE 'user:' END || CASE WHEN l = 'R' THEN f.text ELSE '' END) END
+  FROM (SELECT *, audit[k + 1:k + 1] AS l FROM r WHERE k < length(audit)) r LEFT JOIN f ON l <> 'I' AND f.conv_id IS NOT DISTINCT FROM r.conv_id AND f.n = r.n + 1)
+SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(cost, 0) AS cost, coalesce(r.audit, '') AS audit, sha256(coalesce(array_to_string(r.out, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM a.conv_id AND r.k = length(r.audit)
 """,
 }
