@@ -5,10 +5,10 @@ from __future__ import annotations
 import importlib.util
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, html, langid, licenses, lines, negatives, quality, repair, rules, simhash
+from . import bpe, chat, decontam, html, langid, licenses, lines, negatives, pii, quality, repair, rules, simhash
 from .common import crc32_mod
 
 
@@ -107,6 +107,19 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(rows.select("vec_id", "embedding", label.alias("label")))
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The personal data in every document."""
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.train(docs)[0])
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+
+    counts = map(count, pii.BASE)
+    base = pii.joined(F.filter("spans", lambda s: s["base"]))
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The faults of every damaged conversation and its cheapest repair."""
     turns = table(spark, sf_dir, "conversations")
@@ -145,6 +158,7 @@ QUERIES = {
         op9_bpe,
         op10_decontamination,
         op11_hard_negatives,
+        op12_pii,
         op13_conversation_repair,
     )
 }
@@ -211,8 +225,10 @@ d AS (
   FROM (SELECT *, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) FROM h WHERE kind <> 0)),
 o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM d),
 g AS (
-  SELECT *, role[1:1] AS i, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'duplicate'
-    WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 'truncated' ELSE '' END AS fault, lag(role[1:1]) OVER (PARTITION BY conv_id ORDER BY n) || role[1:1] AS pair FROM o),
+  SELECT *, role[1:1] AS i, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 'truncated' ELSE '' END AS fault, lag(role[1:1]) OVER (PARTITION BY conv_id ORDER BY n) || role[1:1] AS pair FROM o),
 f AS (SELECT *, fault IN ('blank', 'duplicate') AS del, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS t FROM g),
 z AS (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) AS n, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
   count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
