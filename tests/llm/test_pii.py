@@ -104,7 +104,7 @@ def test_planted_spans_are_found_and_the_rest_left(spark):
 
 
 def test_query_equals_brute_force_and_odd_texts(spark, tmp_path):
-    texts = [None, "", " \n", "a@b.co", "ü a@b.co 漢 1.2.3.4, +1 (319) 555-5132 4111 1111 1111 1111", "a@b.co", "x" * 100_000 + " 10.0.0.1", "1.2.3.4 " * 3000, "\x00 a@b.co"]
+    texts = [None, "", " \n", "a@b.co", "ü a@b.co 漢 1.2.3.4, +1 (319) 555-5132, 4111 1111 1111 1111", "a@b.co", "x" * 100_000 + " 10.0.0.1", "1.2.3.4 " * 3000, "\x00 a@b.co"]
     rows = [(i, t, "s", 1) for i, t in enumerate(texts)] + [(3, texts[3], "s", 1), (None, "c@d.ee", "s", 1)]
     spark.createDataFrame(rows, DOC + ", spans string, kind int").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted((tuple(r) for r in queries.op12_pii(spark, str(tmp_path)).collect()), key=str)
