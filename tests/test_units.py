@@ -322,13 +322,13 @@ def test_rename_displaces(spark):
     assert values(state.removed, "object_id") == [(5,)]
 
 
-def plain_batch(entries, edges, events):
-    """``apply_batch`` one event after the other: ({id: (parent, name, nlink)}, {(parent, name): id}, removed ids)."""
-    entries, edges, removed = {k: list(v) for k, v in entries.items()}, dict(edges), set()
+def plain_batch(entries, edges, events, observed=()):
+    """``apply_batch`` one event after the other: ({id: (parent, name, nlink)}, {(parent, name): id}, {removed id: (parent, name, nlink, time)})."""
+    entries, edges, removed = {k: list(v) for k, v in entries.items()}, dict(edges), {}
 
-    def remove(o):
-        if entries.pop(o, None):
-            removed.add(o)
+    def remove(o, time):
+        if o in entries:
+            removed[o] = (*entries.pop(o), time)
         for k in [k for k, v in edges.items() if v == o]:
             del edges[k]
 
@@ -340,13 +340,17 @@ def plain_batch(entries, edges, events):
             edges[at] = o
             entries[o][2] += 1
         elif change == "unlinked" and e["last_link"]:
-            remove(o)
+            if o not in observed:
+                remove(o, e["time"])
         elif change == "unlinked" and edges.get(at) == o:
             del edges[at]
-            entries[o][2] -= 1
-        elif change == "renamed":
+            if o in entries:
+                entries[o][2] -= 1
+                if entries[o][2] < 1:
+                    remove(o, e["time"])
+        elif change == "renamed" and o in entries:
             if edges.get(at, o) != o:
-                remove(edges[at])
+                remove(edges[at], e["time"])
             src = (e["src_parent_id"], e["src_name"])
             if edges.get(src) == o:
                 del edges[src]
@@ -359,7 +363,7 @@ EVENT = "filesystem_id string, source string, idx long, object_kind int, object_
 
 
 def event(idx, change, o, at, src=(None, None), last=False):
-    return {"filesystem_id": "a", "source": "s", "idx": idx, "object_kind": 0, "object_id": o, "change": change, "parent_id": at[0], "name": at[1], "src_parent_id": src[0], "src_name": src[1], "last_link": last, "time": 5, "entry_kind": 0, "uid": 1, "gid": 1, "mode": 420}
+    return {"filesystem_id": "a", "source": "s", "idx": idx, "object_kind": 0, "object_id": o, "change": change, "parent_id": at[0], "name": at[1], "src_parent_id": src[0], "src_name": src[1], "last_link": last, "time": 100 + idx, "entry_kind": 0, "uid": 1, "gid": 1, "mode": 420}
 
 
 def batch_result(spark, entries, edges, events):
@@ -374,7 +378,9 @@ def batch_result(spark, entries, edges, events):
     state = apply.State(df, table(links, schema.EDGE), df.limit(0).withColumn("rm_time", F.lit(0).cast("long")))
     out = apply.apply_batch(state, table(events, kind), spark.createDataFrame([], schema.OBSERVATION), NOW)
     got = {r.object_id: (r.parent_id, r.name, r.nlink) for r in out.entries.collect()}
-    return got, {(r.parent_id, r.name): r.object_id for r in out.edges.collect()}, {r.object_id for r in out.removed.collect()}
+    gone = out.removed.collect()
+    assert len(gone) == len({r.object_id for r in gone})
+    return got, {(r.parent_id, r.name): r.object_id for r in out.edges.collect()}, {r.object_id: (r.parent_id, r.name, r.nlink, r.rm_time) for r in gone}
 
 
 def test_batch_rotates_names(spark):
@@ -382,7 +388,7 @@ def test_batch_rotates_names(spark):
     entries, edges = {4: (1, "log", 1), 5: (1, "log.tmp", 1), 6: (1, "log.1", 1)}, {(1, "log"): 4, (1, "log.tmp"): 5, (1, "log.1"): 6}
     ev = [event(1, "renamed", 4, (1, "log.1"), (1, "log")), event(2, "renamed", 5, (1, "log"), (1, "log.tmp"))]
     got = batch_result(spark, entries, edges, ev)
-    assert got == ({4: (1, "log.1", 1), 5: (1, "log", 1)}, {(1, "log.1"): 4, (1, "log"): 5}, {6})
+    assert got == ({4: (1, "log.1", 1), 5: (1, "log", 1)}, {(1, "log.1"): 4, (1, "log"): 5}, {6: (1, "log.1", 1, 101)})
     assert got == plain_batch(entries, edges, ev)
 
 
@@ -391,7 +397,7 @@ def test_batch_unlinks_before_rename(spark):
     entries, edges = {4: (1, "a", 2), 5: (1, "c", 1)}, {(1, "a"): 4, (1, "b"): 4, (1, "c"): 5}
     ev = [event(1, "unlinked", 4, (1, "a")), event(2, "renamed", 5, (1, "a"), (1, "c"))]
     got = batch_result(spark, entries, edges, ev)
-    assert got == ({4: (1, "a", 1), 5: (1, "a", 1)}, {(1, "b"): 4, (1, "a"): 5}, set())
+    assert got == ({4: (1, "a", 1), 5: (1, "a", 1)}, {(1, "b"): 4, (1, "a"): 5}, {})
     assert got == plain_batch(entries, edges, ev)
 
 
@@ -432,19 +438,45 @@ def test_batch_equals_plain_loop(spark, seed):
     assert batch_result(spark, entries, edges, ev) == plain_batch(entries, edges, ev)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_batch_of_anything_equals_plain_loop(spark, seed):
+    """Records of objects that are gone, or never were, and of names that others hold; objects made again; several links displaced."""
+    rng = random.Random(100 + seed)
+    entries = {o: (1, f"n{o}", 1 + o % 2) for o in range(10, 18)}
+    edges = {(1, f"n{o}"): o for o in entries} | {(2, f"m{o}"): o for o in entries if o % 2}
+    names = [*edges, *((1, f"n{i}") for i in range(30, 34))]
+    ev = []
+    for idx in range(45):
+        what = rng.choice(["created", "hardlinked", "unlinked", "unlinked", "renamed", "renamed", "renamed"])
+        ev.append(event(idx, what, rng.choice([*range(10, 18), 50, 51]), rng.choice(names), rng.choice(names), last=what == "unlinked" and rng.random() < 0.4))
+    assert batch_result(spark, entries, edges, ev) == plain_batch(entries, edges, ev)
+
+
+def test_archive_truncate_release(spark):
+    """A release that shows as a truncation, one that is told, errors, and objects without a state."""
+    kind = spark.createDataFrame([], EVENT + ", detail string").schema
+    rows = entry_rows(spark, *({"object_id": i, "hsm_state": s} for i, s in ((1, "archived"), (2, None), (3, "archived"), (4, "released"), (5, "archived"), (6, "archived"))))
+    hsm = lambda idx, o, ev, err=0, flags=0: {**event(idx, "hsm_changed", o, (None, None)), "hsm_event": ev, "hsm_flags": flags, "hsm_error": err}
+    cut_off = lambda idx, o: {**event(idx, "content_changed", o, (None, None)), "detail": "truncate"}
+    ev = [hsm(1, 1, 0), cut_off(2, 1), cut_off(3, 2), hsm(4, 3, 3, 5, 1), hsm(5, 4, 4), cut_off(6, 4), cut_off(7, 5), cut_off(8, 6), hsm(9, 6, 0)]
+    events = spark.createDataFrame([tuple(r.get(f.name) for f in kind) for r in ev], kind)
+    seen = spark.createDataFrame([("a", 1, 9), ("a", 2, 9), ("a", 3, 9), ("a", 4, 9), ("a", 5, 0), ("a", 6, 8)], "filesystem_id string, object_id long, hsm_bits long")
+    got = values(apply.apply_hsm(rows, events, seen), "object_id", "hsm_state", "hsm_last_op", "hsm_last_event_ts", "hsm_last_error")
+    assert got == [(1, "released", "archive", 101, None), (2, None, None, None, None), (3, "archived", "release", 104, 5), (4, "none", "remove", 105, None), (5, "none", None, None, None), (6, "archived", "archive", 109, None)]
+
+
 def test_batch_twice_is_once(spark):
     from .conftest import SMALL
 
     ev = changelog.normalize(changelog.dedup(fixtures.derived(spark, SMALL, "changes"))).withColumns({"object_kind": F.lit(0), "mode": F.lit(420).cast("long")})
-    ev = ev.filter("change IN ('created', 'hardlinked', 'metadata_changed', 'content_changed', 'hsm_changed')")
+    ev = ev.filter("change IN ('hardlinked', 'metadata_changed', 'content_changed', 'hsm_changed')")
     observed = fixtures.derived(spark, SMALL, "observations")
     start = apply.State(fixtures.entries(spark, SMALL, "fs-a"), fixtures.derived(spark, SMALL, "edges").filter("filesystem_id = 'fs-a'"), fixtures.derived(spark, SMALL, "removed").drop("tier"))
     from treeward.sources.staging import cut
 
     once = apply.apply_batch(start, cut(ev), observed, NOW)
     once = apply.State(cut(once.entries), cut(once.edges), cut(once.removed))
-    # Objects made anew start over, so their links are those of the record again.
-    twice = apply.apply_batch(once, ev.filter("change <> 'created'"), observed, NOW)
+    twice = apply.apply_batch(once, ev, observed, NOW)
     cols = ("object_id", "size", "nlink", "hsm_state", "name")
     assert values(once.entries, *cols) == values(twice.entries, *cols)
 

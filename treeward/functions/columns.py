@@ -186,6 +186,13 @@ def hsm_patch(event: Column | str, flags: Column | str, error: Column | str, sta
     }
 
 
+def truncated_state(mask: Column, state: Column) -> Column:
+    """The HSM state after a truncation: what the bits say, if the state is one of HSM and they say something."""
+    has = lambda n: mask.bitwiseAND(F.lit(n)) != 0
+    seen = F.when(has(8), "released").when(has(4) & ~has(2), "archived").when(mask == 0, "none")
+    return F.when(F.coalesce(state, F.lit("none")) != "none", F.coalesce(seen, state)).otherwise(state)
+
+
 def ratio(a: Column, b: Column) -> Column:
     """``a / b``, null if b is 0."""
     return a / F.nullif(b, F.lit(0))

@@ -865,11 +865,23 @@ def ch12_refresh(spark, d):
 
 
 @query("""
-SELECT e.object_id, CASE WHEN x.object_id IS NULL OR x.err <> 0 OR x.ev NOT IN (0, 1, 3, 4) THEN hsm_state WHEN x.ev IN (0, 1) THEN 'archived' WHEN x.ev = 3 THEN 'released' ELSE 'none' END AS hsm_state, CASE WHEN x.object_id IS NULL THEN hsm_dirty ELSE x.fl % 2 = 1 END AS hsm_dirty
-FROM entries_flat e LEFT JOIN (SELECT object_id, arg_max(hsm_event, (source, idx)) AS ev, arg_max(hsm_flags, (source, idx)) AS fl, arg_max(hsm_error, (source, idx)) AS err FROM changes WHERE kind = 'HSM' GROUP BY object_id) x ON x.object_id = e.object_id WHERE filesystem_id = 'fs-a'
-""", E_, "changes")
+WITH RECURSIVE s AS (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY source, idx) AS n FROM changes WHERE kind IN ('HSM', 'TRUNC')),
+f AS (
+  SELECT e.object_id, 0::BIGINT AS n, e.hsm_state, e.hsm_dirty, NULL::VARCHAR AS op, NULL::BIGINT AS ts, NULL::BIGINT AS err, o.hsm_bits FROM entries_flat e
+  LEFT JOIN observations o ON o.filesystem_id = e.filesystem_id AND o.object_id = e.object_id WHERE e.filesystem_id = 'fs-a'
+  UNION ALL SELECT f.object_id, s.n,
+    CASE WHEN s.kind = 'TRUNC' THEN CASE WHEN coalesce(f.hsm_state, 'none') = 'none' THEN f.hsm_state WHEN f.hsm_bits & 8 <> 0 THEN 'released' WHEN f.hsm_bits & 4 <> 0 AND f.hsm_bits & 2 = 0 THEN 'archived' WHEN f.hsm_bits = 0 THEN 'none' ELSE f.hsm_state END
+      WHEN s.hsm_error <> 0 THEN f.hsm_state WHEN s.hsm_event IN (0, 1) THEN 'archived' WHEN s.hsm_event = 3 THEN 'released' WHEN s.hsm_event = 4 THEN 'none' ELSE f.hsm_state END,
+    CASE WHEN s.kind = 'HSM' THEN s.hsm_flags % 2 = 1 ELSE f.hsm_dirty END,
+    CASE WHEN s.kind = 'HSM' THEN ['archive', 'restore', 'cancel', 'release', 'remove', 'state'][s.hsm_event + 1] ELSE f.op END,
+    CASE WHEN s.kind = 'HSM' THEN s.time ELSE f.ts END, CASE WHEN s.kind = 'HSM' AND s.hsm_error <> 0 THEN s.hsm_error ELSE f.err END, f.hsm_bits
+  FROM f JOIN s ON s.object_id = f.object_id AND s.n = f.n + 1)
+SELECT object_id, hsm_state, hsm_dirty, op AS hsm_last_op, ts AS hsm_last_event_ts, err AS hsm_last_error FROM f QUALIFY row_number() OVER (PARTITION BY object_id ORDER BY n DESC) = 1
+""", E_, "changes", "observations")
 def ch13_hsm_events(spark, d):
-    return apply.apply_hsm(entries(spark, d, "fs-a"), derived(spark, d, "changes").filter("kind = 'HSM'")).select("object_id", "hsm_state", "hsm_dirty")
+    events = changelog.normalize(derived(spark, d, "changes")).filter("kind IN ('HSM', 'TRUNC')")
+    rows = apply.apply_hsm(entries(spark, d, "fs-a"), events, derived(spark, d, "observations"))
+    return rows.select("object_id", "hsm_state", "hsm_dirty", "hsm_last_op", "hsm_last_event_ts", "hsm_last_error")
 
 
 @query("""

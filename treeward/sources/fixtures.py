@@ -165,7 +165,8 @@ def entries(spark: SparkSession, sf_dir: str, filesystem: str | None = None) ->
     if filesystem:
         df = df.filter(F.col("filesystem_id") == filesystem)
     tags = F.when(F.col("tier").isNotNull(), F.create_map(F.lit("user.tier"), F.col("tier")))
-    return df.withColumn("xattr", F.coalesce(tags, F.expr("map()").cast("map<string,string>"))).drop("tier")
+    none = {"hsm_last_op": F.lit(None).cast("string"), "hsm_last_event_ts": F.lit(None).cast("long"), "hsm_last_error": F.lit(None).cast("long")}
+    return df.withColumns({**none, "xattr": F.coalesce(tags, F.expr("map()").cast("map<string,string>"))}).drop("tier")
 
 
 def filesystems(spark: SparkSession) -> DataFrame:
