@@ -481,17 +481,6 @@ def test_batch_twice_is_once(spark):
     assert values(once.entries, *cols) == values(twice.entries, *cols)
 
 
-def test_dedup_stream(spark, tmp_path):
-    from treeward.streaming import jobs
-
-    rows = events(spark, (1, "CLOSE"), (1, "MTIME"), (2, "TRUNC"), (1, "CLOSE"), (2, "TRUNC"), (2, "XATTR"))
-    rows.write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    q = jobs.dedup_stream(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert values(spark.read.parquet(str(tmp_path / "out")), "idx") == [(0,), (2,), (5,)]
-
-
 def test_rendered_values_are_not_templates(spark):
     got = spark.range(1).select(C.rendered("a{path}{x{size}", {"path": "/{size}", "size": F.lit(3)})).first()[0]
     assert got == "a/{size}{x3"

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from treeward.functions import columns as C
 from treeward.operators import apply, changelog, classify, find, namespace, policy, reports, sets
@@ -15,6 +16,7 @@ from treeward.sources.fixtures import derived, entries, filesystems
 from treeward.sources.schema import KEY
 from treeward.sources.staging import cut, scratch
 from treeward.streaming import jobs
+from treeward.streaming.state import Buckets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -747,9 +749,7 @@ FILE_ENDS = "s.kind = 'UNLNK' AND coalesce(s.last_link, false) AND len(f.files)
 DIR_ENDS = "s.kind = 'RMDIR' AND len(f.dirs) > 0"
 
 
-@query(f"""
-WITH RECURSIVE m AS ({MASK_SQL}),
-s AS (SELECT *, row_number() OVER (PARTITION BY filesystem_id, source, batch_id, object_id ORDER BY idx) AS n FROM changes WHERE kind IN ('CREAT', 'UNLNK', 'RENME', 'HLINK', 'MKDIR', 'RMDIR')),
+FOLD_SQL = f"""
 f AS (
   SELECT {ONE}, 0::BIGINT AS n, []::BIGINT[] AS files, []::BIGINT[] AS dirs, -1::BIGINT AS block, []::BIGINT[] AS gone FROM s WHERE n = 1
   UNION ALL SELECT {ONE}, s.n,
@@ -758,14 +758,15 @@ f AS (
     CASE WHEN s.kind IN ('RENME', 'HLINK') THEN s.idx ELSE f.block END,
     CASE WHEN {FILE_ENDS} THEN [f.files[-1], s.idx] WHEN {DIR_ENDS} THEN [f.dirs[-1], s.idx] ELSE [] END
   FROM f JOIN s ON s.filesystem_id = f.filesystem_id AND s.source = f.source AND s.batch_id = f.batch_id AND s.object_id = f.object_id AND s.n = f.n + 1)
-SELECT idx, kind FROM m WHERE NOT masked AND idx NOT IN (SELECT unnest(gone) FROM f)
-""", "changes")
-def st3_dedup(spark, d):
-    return changelog.dedup(derived(spark, d, "changes")).select("idx", "kind")
+"""
 
 
-@query()
-def st3_dedup_all(spark, d):
+@query(f"""
+WITH RECURSIVE m AS ({MASK_SQL}),
+s AS (SELECT *, row_number() OVER (PARTITION BY filesystem_id, source, batch_id, object_id ORDER BY idx) AS n FROM changes WHERE kind IN ('CREAT', 'UNLNK', 'RENME', 'HLINK', 'MKDIR', 'RMDIR')),
+{FOLD_SQL}SELECT idx, kind FROM m WHERE NOT masked AND idx NOT IN (SELECT unnest(gone) FROM f)
+""", "changes")
+def st3_dedup(spark, d):
     return changelog.dedup(derived(spark, d, "changes")).select("idx", "kind")
 
 
@@ -893,13 +894,15 @@ def ch14_hsm_reconcile(spark, d):
 
 
 def positions(spark, d, old: bool):
-    rows = derived(spark, d, "changes").filter("idx % 2 = 0" if old else "idx % 3 = 0 AND idx < 4000")
-    by = rows.groupBy("filesystem_id", F.concat("source", (F.col("object_id") % 20).cast("string")).alias("source"))
-    return by.agg((F.max if old else F.min)("idx").alias("position"))
+    """Positions of many sources: of the records up to each one's middle, or of all of them."""
+    rows = derived(spark, d, "changes").withColumn("source", F.concat("source", (F.col("object_id") % 20).cast("string")))
+    by = rows.groupBy("filesystem_id", "source").agg((F.min if old else F.max)("idx").alias("position"))
+    # Sources of two digits have not moved on.
+    return by.withColumn("position", F.when((F.length("source") % 3 == 0) & F.lit(not old), F.lit(0)).otherwise(F.col("position")).cast("long"))
 
 
-POSITION = "(SELECT filesystem_id, source || object_id % 20 AS source, {f}(idx) AS position FROM changes WHERE {w} GROUP BY ALL)"
-OLD_SQL, NEW_SQL = POSITION.format(f="max", w="idx % 2 = 0"), POSITION.format(f="min", w="idx % 3 = 0 AND idx < 4000")
+POSITION = "(SELECT filesystem_id, source, CASE WHEN length(source) % 3 = {m} THEN 0 ELSE position END AS position FROM (SELECT filesystem_id, source || object_id % 20 AS source, {f}(idx) AS position FROM changes GROUP BY ALL))"
+OLD_SQL, NEW_SQL = POSITION.format(f="min", m=-1), POSITION.format(f="max", m=0)
 
 
 @query(f"SELECT source, max(position) AS position FROM (SELECT * FROM {OLD_SQL} UNION ALL SELECT * FROM {NEW_SQL}) GROUP BY source", "changes")
@@ -936,15 +939,113 @@ def ss4_event_rates(spark, d):
     return jobs.event_rates(rows).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+REFRESHING = ("CLOSE", "TRUNC", "MTIME", "CTIME", "SATTR", "XATTR", "LYOUT")
+
+
+def stream_of(spark, rows, path: str, files: int = 1):
+    """Records in files, in the order of their index, as a stream."""
+    rows.repartitionByRange(files, "idx").sortWithinPartitions("idx").write.parquet(path)
+    return spark.readStream.schema(rows.schema).parquet(path)
+
+
+def change_records(spark, d):
+    return derived(spark, d, "changes").withColumns({"object_kind": F.lit(0), "mode": F.lit(420).cast("long")})
+
+
+def kept_state(spark, d, path: str) -> Buckets:
+    """The derived catalog as the first commit of a state."""
+    tables = {"entries": entries(spark, d, "fs-a"), "edges": derived(spark, d, "edges").filter(A), "removed": derived(spark, d, "removed").drop("tier")}
+    schemas = {t: df.schema for t, df in tables.items()}
+    schemas |= {"links": schemas["edges"], "removed": T.StructType([*schemas["entries"], T.StructField("rm_time", T.LongType())])}
+    state = Buckets(spark, path, schemas, n=16)
+    state.begin(tables["entries"], tables["edges"], catalog.union_all(spark.createDataFrame([], schemas["removed"])).unionByName(tables["removed"], allowMissingColumns=True))
+    return state
+
+
 @query()
 def ss1_ingest(spark, d):
     """The change stream in files, run through the ingest job until none is left; the catalog it leaves."""
     base = scratch(spark)
-    events = derived(spark, d, "changes").withColumns({"object_kind": F.lit(0), "mode": F.lit(420).cast("long")})
-    events.repartitionByRange(3, "idx").sortWithinPartitions("idx").write.parquet(f"{base}/in")
-    versions = jobs.Versions(spark, f"{base}/state")
-    cursors = spark.createDataFrame([], "filesystem_id string, source string, position long")
-    versions.write(-1, entries=entries(spark, d, "fs-a"), edges=derived(spark, d, "edges").filter(A), removed=derived(spark, d, "removed").drop("tier"), cursors=cursors)
-    stream = spark.readStream.schema(events.schema).parquet(f"{base}/in")
-    jobs.ingest(stream, versions, cut(derived(spark, d, "observations")), f"{base}/checkpoint", NOW, [TIERS], every=None).awaitTermination()
-    return versions.read()["entries"].select("object_id", "parent_id", "name", "size", "nlink", "hsm_state")
+    state = kept_state(spark, d, f"{base}/state")
+    job = jobs.Ingest(state, jobs.observing(cut(derived(spark, d, "observations"))), lambda: NOW, [TIERS])
+    job.start(stream_of(spark, change_records(spark, d), f"{base}/in", 3), f"{base}/checkpoint", None).awaitTermination()
+    return state.read("entries").select("object_id", "parent_id", "name", "size", "nlink", "hsm_state")
+
+
+@query("SELECT source, (row_number() OVER (PARTITION BY source ORDER BY idx) - 1) // 300 AS flush, idx FROM changes", "changes")
+def ss2_flushes(spark, d):
+    return jobs.flushes(derived(spark, d, "changes"), 300).select("source", "flush", "idx")
+
+
+@query(f"""
+SELECT s.source, e.object_id, CASE WHEN t.object_id IS NULL THEN e.size ELSE coalesce(o.size, e.size) END AS size, CASE WHEN t.object_id IS NULL THEN e.mtime ELSE coalesce(o.mtime, e.mtime) END AS mtime
+FROM entries_flat e CROSS JOIN (SELECT DISTINCT source FROM changes UNION ALL SELECT 'poisoned') s LEFT JOIN observations o ON o.filesystem_id = e.filesystem_id AND o.object_id = e.object_id
+LEFT JOIN (SELECT DISTINCT source, object_id FROM changes WHERE kind IN {REFRESHING}) t ON t.object_id = e.object_id AND t.source = s.source WHERE e.filesystem_id = 'fs-a'
+""", E_, "changes", "observations")
+def ss3_sources(spark, d):
+    """Three sources side by side, one of which fails: the others' states, and that one's as it was."""
+    base, observed = scratch(spark), cut(derived(spark, d, "observations"))
+    rows = cut(change_records(spark, d).filter(F.col("kind").isin(*REFRESHING)))
+    names = [r.source for r in rows.select("source").distinct().orderBy("source").collect()]
+    streams = {n: stream_of(spark, rows.filter(F.col("source") == n), f"{base}/in/{n}") for n in names}
+    bad = F.when(F.col("idx") >= 0, F.raise_error(F.lit("poisoned"))).otherwise(F.col("idx")).cast("long")
+    streams["poisoned"] = stream_of(spark, rows, f"{base}/in/poisoned").withColumn("idx", bad)
+    states = {n: kept_state(spark, d, f"{base}/state/{n}") for n in streams}
+    running = jobs.ingest_all(streams, {n: jobs.Ingest(states[n], jobs.observing(observed), lambda: NOW, stream=n) for n in streams}, f"{base}/checkpoints")
+    failed = [n for n, error in jobs.supervised(running).items() if error]
+    if failed != ["poisoned"]:
+        raise RuntimeError(f"these sources failed: {failed}")
+    return catalog.union_all(*(s.read("entries").select(F.lit(n).alias("source"), "object_id", "size", "mtime") for n, s in states.items()))
+
+
+FRESH = "coalesce(o.size, e.size) AS size, coalesce(o.mtime, e.mtime) AS mtime, coalesce(o.uid, e.uid) AS uid"
+
+
+@query(f"""
+SELECT f.flush + 1 AS version, f.object_id, {CLASS_SQL} AS class
+FROM (SELECT object_id, min(flush) AS flush FROM (SELECT object_id, (row_number() OVER (PARTITION BY source ORDER BY idx) - 1) // 2000 AS flush FROM changes WHERE kind IN {REFRESHING}) GROUP BY object_id) f
+JOIN (SELECT e.object_id, {FRESH} FROM entries_flat e LEFT JOIN observations o ON o.filesystem_id = e.filesystem_id AND o.object_id = e.object_id WHERE e.filesystem_id = 'fs-a') x ON x.object_id = f.object_id
+WHERE {CLASS_SQL} IS NOT NULL
+""", E_, "changes", "observations")
+def ss5_reclassified(spark, d):
+    """The rows that each flush of the stream gave other tags."""
+    base = scratch(spark)
+    state = kept_state(spark, d, f"{base}/state")
+    job = jobs.Ingest(state, jobs.observing(cut(derived(spark, d, "observations"))), lambda: NOW, [TIERS], feed=f"{base}/feed", most=2000)
+    rows = change_records(spark, d).filter(F.col("kind").isin(*REFRESHING))
+    job.start(stream_of(spark, rows, f"{base}/in"), f"{base}/checkpoint", None).awaitTermination()
+    return jobs.reclassified(spark, f"{base}/feed", state).select(F.col("version").cast("long").alias("version"), "object_id", F.col("xattr")["class"].alias("class"))
+
+
+HOLD = 86400
+
+
+@query(f"""
+WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY source, object_id ORDER BY idx) AS k FROM changes),
+g AS (
+  SELECT source, object_id, k, idx, time AS since FROM o WHERE k = 1
+  UNION ALL SELECT o.source, o.object_id, o.k, o.idx, CASE WHEN o.time >= g.since + {HOLD} THEN o.time ELSE g.since END FROM g JOIN o ON o.source = g.source AND o.object_id = g.object_id AND o.k = g.k + 1),
+w AS (SELECT c.* REPLACE (g.since AS batch_id) FROM changes c JOIN g ON g.source = c.source AND g.idx = c.idx),
+m AS ({MASK_SQL.replace("FROM changes", "FROM w")}),
+s AS (SELECT *, row_number() OVER (PARTITION BY filesystem_id, source, batch_id, object_id ORDER BY idx) AS n FROM w WHERE kind IN ('CREAT', 'UNLNK', 'RENME', 'HLINK', 'MKDIR', 'RMDIR')),
+{FOLD_SQL}
+SELECT idx, kind FROM m WHERE NOT masked AND idx NOT IN (SELECT unnest(gone) FROM f)
+""", "changes")
+def ss6_continuous_dedup(spark, d):
+    """Records of an object wait a day together, whatever the batches; a mark from long after lets the last ones go."""
+    base = scratch(spark)
+    rows = derived(spark, d, "changes").withColumn("ts", F.timestamp_seconds("time")).select("filesystem_id", "source", "object_id", "idx", "kind", "last_link", "ts")
+    rows.repartitionByRange(2, "idx").sortWithinPartitions("idx").write.parquet(f"{base}/in/part=0")
+    end = rows.agg(F.max("idx").alias("idx"), F.max("ts").alias("ts"), F.first("filesystem_id").alias("filesystem_id"))
+    mark = end.select("filesystem_id", F.lit("mark").alias("source"), F.lit(0).cast("long").alias("object_id"), F.col("idx") + 1, F.lit("MARK").alias("kind"), F.lit(False).alias("last_link"), F.expr(f"ts + make_dt_interval(0, 1, 0, {HOLD})"))
+    mark.toDF(*rows.columns).write.parquet(f"{base}/in/part=1")
+    stream = spark.readStream.schema(T.StructType([*rows.schema, T.StructField("part", T.IntegerType())])).option("maxFilesPerTrigger", 2).parquet(f"{base}/in").drop("part")
+    store, name = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    old = spark.conf.get(store)
+    spark.conf.set(store, name)
+    try:
+        out = jobs.dedup_stream(stream, HOLD, late="1 minute")
+        out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(store, old)
+    return spark.read.schema(out.schema).parquet(f"{base}/out").select("idx", "kind")
