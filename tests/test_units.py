@@ -481,6 +481,59 @@ def test_batch_twice_is_once(spark):
     assert values(once.entries, *cols) == values(twice.entries, *cols)
 
 
+def test_names_and_ids_of_any_bytes(spark):
+    """Strings that look like base64 objects, bytes that are none, and the greatest inode survive; malformed ones do not."""
+    from treeward.functions import columns as C
+    from treeward.sources.schema import wide
+
+    kind = wide(ENTRY)
+    names = [b"plain", b"\xff\xfe", b'{"base64":"QQ=="}', "\u00fc\u6f22".encode(), b"", b'q"\\\x01', None]
+    base = dict.fromkeys(ENTRY.names) | {"filesystem_id": "a", "kind": 0, "size": 1}
+    rows = [base | {"object_kind": i % 2, "object_id": bytes([255 * (i % 2 == 0)] * 8) + bytes([255] * 7 + [i]), "name": n} for i, n in enumerate(names)]
+    df = spark.createDataFrame([tuple(r[c] for c in ENTRY.names) for r in rows], kind)
+    lines = catalog.dump(df)
+    assert [r.object_id for r in lines.collect()] == sorted(r["object_id"] for r in rows)
+    good, bad = catalog.restore(lines.select("value"), kind)
+    got = [(bytes(r.object_id), None if r.name is None else bytes(r.name)) for r in good.collect()]
+    assert sorted(got, key=repr) == sorted(((r["object_id"], r["name"]) for r in rows), key=repr)
+    assert bad.count() == 0
+    wrong = ['{"object_kind":0,"object_id":"[0x1:0x2]","name":"a"}', '{"object_kind":1,"object_id":"18446744073709551616","name":"a"}', '{"object_kind":1,"object_id":"5","name":{"base64":"*"}}', '{"object_kind":1,"object_id":"x"}']
+    good, bad = catalog.restore(spark.createDataFrame([(w,) for w in wrong], "value string"), kind)
+    assert good.count() == 0 and bad.count() == 4
+    assert [r[0] for r in df.orderBy("object_id").select(C.shown("name")).collect()].count("\ufffd\ufffd") == 1
+
+
+def test_batch_with_ids_of_16_bytes(spark):
+    """The same batch over numbers and over bytes ends alike."""
+    from treeward.functions import columns as C
+    from treeward.sources import schema
+
+    rng = random.Random(8)
+    entries, edges = {o: (1, f"n{o}", 1) for o in range(10, 16)}, {(1, f"n{o}"): o for o in range(10, 16)}
+    names = [(1, f"n{i}") for i in range(10, 20)]
+    ev = [event(i, rng.choice(["created", "hardlinked", "unlinked", "renamed"]), rng.randrange(10, 17), rng.choice(names), rng.choice(names), last=rng.random() < 0.3) for i in range(25)]
+    kind = spark.createDataFrame([], EVENT).schema
+    table = lambda rows, kind: spark.createDataFrame([tuple(r.get(f.name) for f in kind) for r in rows], kind)
+    base = {"filesystem_id": "a", "object_kind": 0, "kind": 0, "size": 1, "ctime": 1}
+    e = table([base | {"object_id": o, "parent_id": v[0], "name": v[1], "nlink": v[2]} for o, v in entries.items()], schema.ENTRY)
+    g = table([base | {"parent_id": k[0], "name": k[1], "object_id": v} for k, v in edges.items()], schema.EDGE)
+    seen = spark.createDataFrame([], schema.OBSERVATION)
+    raw = lambda c: F.concat(F.unhex(F.lit("FF" * 8)), F.substring(C.inode_bytes(c), 9, 8))
+
+    def bytes_of(df):
+        new = {c: raw(c) for c in df.columns if c in schema.ID_COLUMNS} | {c: F.concat(F.encode(c, "utf-8"), F.unhex(F.lit("FF"))) for c in df.columns if c in ("name", "src_name")}
+        return df.withColumns(new)
+
+    out = apply.apply_batch(apply.State(*map(bytes_of, (e, g, e.limit(0).withColumn("rm_time", F.lit(0).cast("long"))))), bytes_of(table(ev, kind)), bytes_of(seen), NOW)
+    number = lambda c: C.inode_from_bytes(c).alias(c)
+    text = F.substring(F.hex("name"), 1, F.length(F.hex("name")) - 2)
+    got = {r.object_id: (r.parent_id, bytes.fromhex(r.name).decode(), r.nlink) for r in out.entries.select(number("object_id"), number("parent_id"), text.alias("name"), "nlink").collect()}
+    want, links, gone = plain_batch(entries, edges, ev)
+    assert got == want
+    assert {r.object_id for r in out.removed.select(number("object_id")).collect()} == set(gone)
+    assert out.edges.count() == len(links)
+
+
 def test_rendered_values_are_not_templates(spark):
     got = spark.range(1).select(C.rendered("a{path}{x{size}", {"path": "/{size}", "size": F.lit(3)})).first()[0]
     assert got == "a/{size}{x3"

@@ -82,6 +82,24 @@ def inode_from_bytes(raw: Column | str) -> Column:
     return F.conv(F.substring(F.hex(raw), 17, 16), 16, 10).cast("decimal(20,0)").cast("long")
 
 
+def key_to_text(kind: Column | str, raw: Column | str) -> Column:
+    """An id of 16 bytes as text: a FID's form for object kind 0, an inode's number for 1."""
+    kind = F.col(kind) if isinstance(kind, str) else kind
+    return F.when(kind == 0, fid_to_text(raw)).otherwise(F.conv(F.substring(F.hex(raw), 17, 16), 16, 10))
+
+
+def key_from_text(kind: Column | str, text: Column | str) -> Column:
+    """The inverse: 16 bytes, null if malformed; inodes go up to 2^64."""
+    kind, text = (F.col(c) if isinstance(c, str) else c for c in (kind, text))
+    inode = F.when(text.rlike("^[0-9]{1,20}$") & (F.expr("try_cast('18446744073709551615' AS decimal(20,0))") >= text.try_cast("decimal(20,0)")), F.unhex(F.lpad(F.conv(text, 10, 16), 32, "0")))
+    return F.when(kind == 0, fid_from_text(text)).when(kind == 1, inode)
+
+
+def shown(name: Column | str) -> Column:
+    """A name for people: bytes that are not UTF-8 become U+FFFD."""
+    return F.make_valid_utf8((F.col(name) if isinstance(name, str) else name).cast("string"))
+
+
 # Bit fields of change records ----------------------------------------------------
 
 

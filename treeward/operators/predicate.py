@@ -74,15 +74,15 @@ def to_column(pred: dict, mode: str = "sql", stripes: DataFrame | None = None) -
                 col = F.coalesce(col, F.lit(0))
             return leaf(COMPARE[p["cmp"]](col, F.lit(p["value"])))
         if op == "name_like":
-            return leaf(F.col("name").like(p["pattern"]))
+            return leaf(F.col("name").cast("string").like(p["pattern"]))
         if op == "iname_like":
-            return leaf(F.col("name").ilike(p["pattern"]))
+            return leaf(F.col("name").cast("string").ilike(p["pattern"]))
         if op == "name_regex":
             try:
                 re.compile(p["pattern"])
             except re.error:
                 return F.lit(False)
-            return leaf(F.col("name").rlike(p["pattern"]))
+            return leaf(F.col("name").cast("string").rlike(p["pattern"]))
         if op == "xattr":
             col, value = F.col("xattr")[p["key"]], p["value"]
             return leaf(COMPARE[p["cmp"]](col.try_cast("long") if isinstance(value, int) else col, F.lit(value)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,7 +13,7 @@ from treeward.operators import apply, changelog, classify, find, namespace, poli
 from treeward.operators.predicate import all_of, any_of, cmp, fileclasses, ignoring, negated, tags, to_column
 from treeward.sources import catalog, fixtures
 from treeward.sources.fixtures import derived, entries, filesystems
-from treeward.sources.schema import KEY
+from treeward.sources.schema import ENTRY, ID_COLUMNS, KEY, wide
 from treeward.sources.staging import cut, scratch
 from treeward.streaming import jobs
 from treeward.streaming.state import Buckets
@@ -131,6 +131,58 @@ def sc11_scan_summary(spark, d):
     return catalog.scan_summary(entries(spark, d, "fs-a").select(F.col("uid").alias("scan_id"), "kind", event.alias("event")))
 
 
+# Ids of 16 bytes and names of any bytes -------------------------------------------------
+
+
+def wide_form(rows: DataFrame) -> DataFrame:
+    """Rows with 128-bit FIDs, or inodes, for their ids, and names of which some are not UTF-8."""
+    kinds = {"object_kind": F.col("object_kind")} if "object_kind" in rows.columns else {"object_kind": F.lit(0)}
+
+    def fid(c: str) -> Column:
+        x = F.col(c)
+        lustre = C.fid_bytes(F.lit(0x200000400) + F.shiftright(x, 17), x.bitwiseAND(131071) + 1, x % 3)
+        return F.when(kinds["object_kind"] == 0, lustre).otherwise(C.inode_bytes(x)).alias(c)
+
+    name = F.concat(F.encode("name", "utf-8"), F.when(F.length("name") % 3 == 0, F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit("")))).alias("name")
+    return rows.select(*(fid(c) if c in ID_COLUMNS else name if c == "name" else F.col(c) for c in rows.columns))
+
+
+HEX_ID = "CASE WHEN object_kind = 0 THEN lpad(to_hex(8589935616 + {c} // 131072), 16, '0') || lpad(to_hex({c} % 131072 + 1), 8, '0') || lpad(to_hex({c} % 3), 8, '0') ELSE lpad(to_hex({c}), 32, '0') END"
+ID_TEXT = "CASE WHEN object_kind = 0 THEN '[0x' || lower(to_hex(8589935616 + {c} // 131072)) || ':0x' || lower(to_hex({c} % 131072 + 1)) || ':0x' || ({c} % 3) || ']' ELSE {c}::VARCHAR END"
+HEX_NAME = "hex(encode(name)) || CASE WHEN length(name) % 3 = 0 THEN 'FF' ELSE '' END"
+NAME_JSON = """CASE WHEN length(name) % 3 = 0 THEN '{"base64":"' || to_base64(encode(name) || '\\xFF'::BLOB) || '"}' ELSE to_json(name)::VARCHAR END"""
+
+
+@query(f"SELECT {HEX_ID.format(c='object_id')} AS id, {HEX_ID.format(c='parent_id')} AS parent, {HEX_NAME} AS name, name || CASE WHEN length(name) % 3 = 0 THEN chr(65533) ELSE '' END AS shown, size FROM {E_}")
+def sc1_wide_catalog(spark, d):
+    path = scratch(spark)
+    rows = wide_form(entries(spark, d))
+    catalog.write_catalog(rows, path)
+    back = catalog.read_catalog(spark, path, wide(ENTRY))
+    return back.select(F.hex("object_id").alias("id"), F.hex("parent_id").alias("parent"), F.hex("name").alias("name"), C.shown("name").alias("shown"), "size")
+
+
+@query(f"""SELECT {HEX_ID.format(c='object_id')} AS id, '{{"name":' || {NAME_JSON} || ',"object_kind":' || object_kind || ',"object_id":"' || {ID_TEXT.format(c='object_id')} || '"' || CASE WHEN parent_id IS NULL THEN '' ELSE ',"parent_id":"' || {ID_TEXT.format(c='parent_id')} || '"' END || ',"size":' || size || '}}' AS value FROM {E_}""")
+def sc8_dump_wide(spark, d):
+    rows = wide_form(entries(spark, d)).select("object_kind", "object_id", "parent_id", "name", "size")
+    return catalog.dump(rows).select(F.hex("object_id").alias("id"), "value")
+
+
+@query(f"SELECT {HEX_ID.format(c='object_id')} AS id, {HEX_ID.format(c='parent_id')} AS parent, {HEX_NAME} AS name, size, tier, false AS bad FROM {E_} UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, true FROM {E_}")
+def sc9_restore_wide(spark, d):
+    """What was dumped, read back; lines that are cut short are rejected."""
+    lines = catalog.dump(wide_form(entries(spark, d))).select("value")
+    good, bad = catalog.restore(lines.unionByName(lines.select(F.expr("left(value, length(value) - 9)").alias("value"))), wide(ENTRY))
+    good = good.select(F.hex("object_id").alias("id"), F.hex("parent_id").alias("parent"), F.hex("name").alias("name"), "size", F.col("xattr")["user.tier"].alias("tier"), F.lit(False).alias("bad"))
+    return good.unionByName(bad.select(F.lit(True).alias("bad")), allowMissingColumns=True)
+
+
+@query(f"SELECT ost_index, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM {S_} s JOIN {E_} e ON e.filesystem_id = s.filesystem_id AND e.object_id = s.object_id GROUP BY ost_index", E_, S_)
+def jo1_stripes_by_fid(spark, d):
+    both = wide_form(derived(spark, d, S_).withColumn("name", F.lit(""))).join(wide_form(entries(spark, d)).select(*KEY, "size"), list(KEY))
+    return both.groupBy("ost_index").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+
+
 # Predicates ------------------------------------------------------------------------
 
 

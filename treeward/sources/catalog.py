@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from treeward.functions.columns import glob_filter, kind_code
-from treeward.sources.schema import BACKEND_KIND, ENTRY, KEY
+from treeward.functions.columns import glob_filter, key_from_text, key_to_text, kind_code
+from treeward.sources.schema import BACKEND_KIND, ENTRY, ID_COLUMNS, KEY
 
 
 def read_catalog(spark: SparkSession, path: str, schema: T.StructType = ENTRY) -> DataFrame:
@@ -89,24 +89,49 @@ def replace_stripes(stripes: DataFrame, batch: DataFrame) -> DataFrame:
     return stripes.join(batch.select(*KEY).distinct(), list(KEY), "left_anti").unionByName(new)
 
 
-def dump(entries: DataFrame, after: int | None = None) -> DataFrame:
-    """``(object_id, value)``: entries as JSON lines in the order of their ids, after a given one."""
-    rows = entries if after is None else entries.filter(F.col("object_id") > after)
-    return rows.select("object_id", F.to_json(F.struct(*entries.columns)).alias("value")).orderBy("object_id")
+def encoded_name(name: Column) -> Column:
+    """A name of bytes as JSON: a string if it is UTF-8, else an object with its base64."""
+    text = name.cast("string")
+    string = F.to_json(F.array(F.try_validate_utf8(text)))
+    return F.when(F.is_valid_utf8(text), F.substr(string, F.lit(2), F.length(string) - 2)).otherwise(F.to_json(F.struct(F.base64(name).alias("base64"))))
 
 
-def encoded_name(name: Column) -> Column:
-    """A name of bytes as JSON: text if it is UTF-8, else an object with its base64."""
-    text = F.to_json(F.struct(F.try_validate_utf8(name.cast("string")).alias("text")))
-    return F.when(F.is_valid_utf8(name.cast("string")), text).otherwise(F.to_json(F.struct(F.base64(name).alias("base64"))))
+def dump(entries: DataFrame, after: int | Column | None = None) -> DataFrame:
+    """``(object_id, value)``: entries as JSON lines in the order of their ids, after a given one.
+
+    Ids of 16 bytes are text in the JSON, and names of bytes what ``encoded_name`` makes of them.
+    """
+    rows = entries if after is None else entries.filter(F.col("object_id") > after)
+    types = dict(entries.dtypes)
+    ids = {c: key_to_text("object_kind", c) for c in ID_COLUMNS if types.get(c) == "binary"}
+    line = F.to_json(F.struct(*((ids[c].alias(c) if c in ids else F.col(c)) for c in entries.columns if c != "name" or types[c] != "binary")))
+    if types.get("name") == "binary":
+        name = F.when(F.col("name").isNotNull(), F.concat(F.lit('"name":'), encoded_name(F.col("name")), F.lit(",")))
+        line = F.concat(F.lit("{"), F.coalesce(name, F.lit("")), F.substr(line, F.lit(2)))
+    return rows.select("object_id", line.alias("value")).orderBy("object_id")
 
 
 def restore(lines: DataFrame, schema: T.StructType = ENTRY) -> tuple[DataFrame, DataFrame]:
-    """(rows, rejects) of JSON lines in ``value``; blank lines are nothing, lines without a key are bad."""
-    wide = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
+    """(rows, rejects) of JSON lines in ``value``; blank lines are nothing, lines without a key are bad.
+
+    With a ``wide`` schema ids are read from their text, and a name from a string or from base64.
+    """
+    binary = [f.name for f in schema if f.dataType == T.BinaryType()]
+    plain = T.StructType([T.StructField(f.name, T.StringType() if f.name in binary else f.dataType) for f in schema])
+    wide = T.StructType([*plain.fields, T.StructField("_bad", T.StringType())])
     parsed = lines.filter(F.trim("value") != "").select("value", F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("x"))
-    ok = F.col("x").isNotNull() & F.col("x._bad").isNull() & F.col("x.object_id").isNotNull()
-    return parsed.filter(ok).select(*(f"x.{c}" for c in schema.names)), parsed.filter(~F.coalesce(ok, F.lit(False))).select("value")
+    columns = {c: F.col(f"x.{c}") for c in schema.names}
+    columns |= {c: key_from_text("x.object_kind", f"x.{c}") for c in binary if c in ID_COLUMNS}
+    good = F.lit(True)
+    if "name" in binary:
+        # Only the parsed line tells an object from a string that looks like one.
+        coded = F.try_variant_get(F.try_parse_json("value"), "$.name.base64", "string")
+        columns["name"] = F.when(coded.isNull(), F.encode("x.name", "utf-8")).otherwise(F.try_to_binary(coded, F.lit("base64")))
+        good = columns["name"].isNotNull() | F.col("x.name").isNull()
+    for c in (c for c in binary if c in ID_COLUMNS):
+        good &= columns[c].isNotNull() | F.col(f"x.{c}").isNull()
+    ok = F.coalesce(F.col("x").isNotNull() & F.col("x._bad").isNull() & F.col("x.object_id").isNotNull() & good, F.lit(False))
+    return parsed.filter(ok).select(*(v.alias(c) for c, v in columns.items())), parsed.filter(~ok).select("value")
 
 
 def reset_filesystem(fs: str, *tables: DataFrame) -> tuple[DataFrame, ...]:

@@ -23,6 +23,17 @@ CURSOR = _table(filesystem_id=S, source=S, position=L)
 BASELINE = _table(filesystem_id=S, state=S, epoch=L)
 OBSERVATION = _table(filesystem_id=S, object_id=L, size=L, blocks=L, uid=L, gid=L, mode=L, nlink=L, atime=L, mtime=L, ctime=L)
 
+
+def wide(table: T.StructType) -> T.StructType:
+    """A table whose ids are 16 bytes, which hold any FID or inode, and whose names are the bytes that the filesystem has.
+
+    All operators that compare ids and names take either form; text patterns see a name's bytes as UTF-8.
+    """
+    return T.StructType([T.StructField(f.name, T.BinaryType() if f.name in (*ID_COLUMNS, "name") else f.dataType) for f in table])
+
+
+ID_COLUMNS = ("object_id", "parent_id", "src_parent_id")
+
 #: The fixed codes of entry kinds.
 KINDS = {0: "file", 1: "directory", 2: "symlink", 3: "chardev", 4: "blockdev", 5: "fifo", 6: "socket"}
 #: The object kind that each backend's ids have.
