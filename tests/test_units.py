@@ -543,3 +543,77 @@ def test_internal_text_operations(spark):
     rows = [("1.0|NEWSESSION(1,a)|(1,2)",), ("1.0|DELSUSTAINED(1,2)|(1,2)",), ("1.0|NEW_SESSION(1)|(1,2)",), ("1.0|UNLINK(1,a,0,0,0)|(1,2)",), ("1.0|UNLINK(1,a,0,0,0):7|(1,2)",), ("1.0|RMDIR(1,d,0):8|(1,2)",)]
     good, bad = changelog.decode_text(spark.createDataFrame(rows, "value string"))
     assert sorted(r.object_id for r in good.collect()) == [7, 8] and sorted(r.value for r in bad.collect()) == sorted([rows[2][0], rows[3][0]])
+
+
+# Any number of rows ------------------------------------------------------------------------
+
+
+def plan_of(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_budgets_over_any_count_equal_the_small_ones(spark, monkeypatch):
+    from dataclasses import replace
+
+    rng = random.Random(3)
+    rows = entry_rows(spark, *({"object_id": i, "size": rng.randrange(1000), "atime": rng.randrange(50), "nlink": 1 + (i % 9 == 0)} for i in range(3000))).repartition(8)
+    p = policy.Policy("p", "a", lru="atime", max_count=2000, max_volume=600_000, skip_hardlinked=True)
+    cols = ("object_id", "position", "cumulative", "decision")
+    few = values(policy.select_candidates(rows, p), *cols)
+    monkeypatch.setattr(policy, "FEW", 10)
+    many = policy.select_candidates(rows, p)
+    assert values(many, *cols) == few and len(few) == 2000
+    assert "SinglePartition" not in plan_of(many)
+    assert policy.select_candidates(rows, replace(p, max_count=100_000_000)).count() == 3000
+    assert policy.select_candidates(rows.limit(0), p).count() == 0
+
+
+def test_lost_chains_and_rings_take_few_rounds(spark, monkeypatch):
+    """A lost chain of 5,000, one that leads into a ring, rings of several lengths, and a node above itself."""
+    chain = [(10_000 + i, f"c{i}", 10_001 + i) for i in range(5000)]
+    into = [(20_000 + i, f"i{i}", 20_001 + i) for i in range(300)] + [(30_002, "top", 20_000)]
+    rings = [(30_000 + (i + 1) % 3, f"r{i}", 30_000 + i) for i in range(3)] + [(40_000, "self", 40_000)] + [(50_000 + (i + 1) % 700, f"l{i}", 50_000 + i) for i in range(700)]
+    links = [*chain, *into, *rings, (1, "home", 2)]
+    edges = spark.createDataFrame([("a", 0, p, n, o) for p, n, o in links], "filesystem_id string, object_kind int, parent_id long, name string, object_id long")
+    ids = {1, *(o for _, _, o in links)}
+    df = entry_rows(spark, *({"object_id": o, "kind": 1} for o in sorted(ids)))
+    rounds = []
+    monkeypatch.setattr(namespace, "cut", lambda df, cut=namespace.cut: rounds.append(1) or cut(df))
+    got = {r.object_id: r.status for r in namespace.full_paths(df, edges, "a", 1).collect()}
+    on_ring = {30_000, 30_001, 30_002, 40_000, *range(50_000, 50_700)}
+    assert got == {o: "ok" if o in (1, 2) else "cycle" if o in on_ring else "missing_parent" for o in ids}
+    assert len(rounds) < 22
+
+
+def test_percentiles_of_merged_periods(spark):
+    from treeward.operators import reports
+
+    rng = random.Random(2)
+    rows = [(p, d, rng.random() ** 3 * 1000) for p in ("a", "b") for d in range(30) for _ in range(400 if p == "a" else 7)]
+    sketches = reports.run_sketches(spark.createDataFrame(rows, "policy string, day int, seconds double"), F.col("day"))
+    assert sketches.count() == 60
+    for days in (30, 10):  # any periods
+        got = {r.policy: r for r in reports.run_percentiles(sketches.filter(F.col("period") < days)).collect()}
+        for p in ("a", "b"):
+            own = sorted(s for q, d, s in rows if q == p and d < days)
+            assert got[p].n == len(own)
+            for rank, value in ((0.5, got[p].p50), (0.95, got[p].p95)):
+                below, upto = sum(s < value for s in own) / len(own), sum(s <= value for s in own) / len(own)
+                assert below - reports.RANK_ERROR <= rank <= upto + reports.RANK_ERROR + 1 / len(own)
+
+
+def test_equal_listings_shuffle_digests_only(spark):
+    from treeward.operators import sets
+
+    rows = spark.range(20_000).select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("name"), (F.col("id") % 100).alias("size"), F.lit(1).alias("depth"), F.col("id").alias("object_id"))
+    seen = rows.select("name", "size", "depth")
+    assert sets.diff(seen, rows).count() == 0
+    a, b = sets.differing(seen.select("name", "size"), rows, ["name", "size"])
+    assert a.count() == b.count() == 0
+    # One row more, one changed, repeated rows and nulls on one side: only their ranges are compared.
+    other = seen.unionByName(seen.limit(3)).unionByName(spark.createDataFrame([("new", 1, 1), (None, 2, 1)], "name string, size long, depth int")).filter("name <> 'n7' OR name IS NULL")
+    a, b = sets.differing(other.select("name", "size"), rows, ["name", "size"])
+    assert a.count() < 200 and b.count() < 200
+    assert values(sets.diff(other, rows), "side", "name", "size", "object_id", "total") == [("catalog", "n7", 7, 7, 1), ("filesystem", "new", 1, None, 2), ("filesystem", None, 2, None, 2)]
+    assert len(values(sets.diff(other, rows, limit=1), "side")) == 2

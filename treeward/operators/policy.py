@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 from treeward.functions.columns import kind_label, merged, rendered
 from treeward.sources.schema import KEY
 
+from .prefix import running
 from .predicate import all_of, cmp, tags, to_column
 
+#: Candidates that one task orders and sums.
+FEW = 50_000
 LRU = ("atime", "mtime", "ctime", "last_seen")
 HSM_KINDS = ("hsm_archive", "hsm_release", "hsm_restore", "hsm_remove")
 
@@ -78,21 +81,25 @@ def select_candidates(entries: DataFrame, policy: Policy, stripes: DataFrame | N
     links are skipped if asked, ineligible HSM entries too, and what is left is
     dispatched until the next one would exceed ``max_volume``: a prefix, not a best
     fit. With ``low_measure``, the measure before the run, dispatch stops once the
-    policy's low mark is reached. Skipped rows use no budget. The windows see only the
-    rows left by the count limit, so a single task is enough for them.
+    policy's low mark is reached. Skipped rows use no budget. Up to ``FEW`` candidates the
+    count limit leaves rows enough for one task; beyond it sums run over ranges.
     """
     if policy.lru is not None and policy.lru not in LRU:
         raise ValueError(f"cannot order by {policy.lru!r}")
     rows = entries.filter((F.col("filesystem_id") == policy.filesystem) & to_column(policy.scope(), stripes=stripes))
     keys = ([policy.lru] if policy.lru else []) + ["object_kind", "object_id"]
-    rows = rows.orderBy(*keys).limit(policy.max_count or 10_000)
+    most = policy.max_count or 10_000
+    rows = rows.orderBy(*keys).limit(most) if most <= FEW else rows
     hard = (F.col("nlink") > 1) if policy.skip_hardlinked else F.lit(False)
     barred = ~eligible(policy.kind) if policy.kind in HSM_KINDS else F.lit(False)
     rows = rows.withColumn("_skip", F.when(hard, "skipped_hardlink").when(barred, "skipped_state"))
-    order = Window.orderBy(*keys)
-    before = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    used = F.sum(F.when(F.col("_skip").isNull(), F.col("size")).otherwise(0)).over(before)
-    rows = rows.withColumns({"position": F.row_number().over(order), "cumulative": used})
+    uses = F.when(F.col("_skip").isNull(), F.col("size")).otherwise(0)
+    if most <= FEW:
+        order = Window.orderBy(*keys)
+        before = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        rows = rows.withColumns({"position": F.row_number().over(order).cast("long"), "cumulative": F.sum(uses).over(before)})
+    else:
+        rows = running(rows, keys, uses).filter(F.col("position") <= most)
     decision = F.when(F.col("_skip").isNotNull(), F.col("_skip"))
     if policy.max_volume is not None:
         decision = decision.when(F.col("cumulative") > policy.max_volume, "over_budget")

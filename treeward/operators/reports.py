@@ -119,8 +119,20 @@ def run_durations(runs: DataFrame, by: str = "policy", seconds: str = "seconds")
     return counts.select(by, bounds, *(f"_{i}" for i in range(len(RUN_BUCKETS)))).select(by, "le", pick.alias("n"))
 
 
-def run_percentiles(runs: DataFrame, by: str = "policy", seconds: str = "seconds") -> DataFrame:
-    return runs.groupBy(by).agg(F.percentile_approx(seconds, 0.5, 10_000).alias("p50"), F.percentile_approx(seconds, 0.95, 10_000).alias("p95"))
+#: Sketches of run times: a quantile's rank is off by at most this share (at 99 % confidence for sketches of this size).
+SKETCH_K, RANK_ERROR = 800, 0.005
+
+
+def run_sketches(runs: DataFrame, period: Column, by: str = "policy", seconds: str = "seconds") -> DataFrame:
+    """``(policy, period, sketch)``: a small sketch of the run times in each period, to be stored and merged."""
+    return runs.groupBy(by, period.alias("period")).agg(F.kll_sketch_agg_double(F.col(seconds).cast("double"), F.lit(SKETCH_K)).alias("sketch"))
+
+
+def run_percentiles(sketches: DataFrame, by: str = "policy", ranks: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
+    """``(policy, n, p50, p95)`` of merged sketches: any periods, without their runs; ranks within ``RANK_ERROR``, exact up to some ``SKETCH_K`` runs."""
+    merged = sketches.groupBy(by).agg(F.kll_merge_agg_double("sketch").alias("s"))
+    picks = [F.kll_sketch_get_quantile_double("s", F.lit(r)).alias(f"p{round(100 * r)}") for r in ranks]
+    return merged.select(by, F.kll_sketch_get_n_double("s").alias("n"), *picks)
 
 
 # Pages ---------------------------------------------------------------------------

@@ -381,6 +381,19 @@ def ag12_run_durations(spark, d):
     return reports.run_durations(runs)
 
 
+@query(f"SELECT gid AS policy, count(*) AS n, true AS p50_within, true AS p95_within FROM {E_} WHERE {A} GROUP BY gid")
+def ag12_run_percentiles(spark, d):
+    """Percentiles out of sketches of twelve periods, held against all runs: their ranks are within the error that is promised."""
+    runs = cut(entries(spark, d, "fs-a").select(F.col("gid").alias("policy"), ((F.col("object_id") * 7919 % 5000) / 10.0).alias("seconds"), (F.col("object_id") % 12).alias("month")))
+    found = reports.run_percentiles(reports.run_sketches(runs, F.col("month")))
+
+    def within(rank: float, c: str) -> Column:
+        below, upto = F.count_if(F.col("seconds") < F.col(c)) / F.count("*"), F.count_if(F.col("seconds") <= F.col(c)) / F.count("*")
+        return ((below - reports.RANK_ERROR <= rank) & (upto + reports.RANK_ERROR + 1 / F.count("*") >= rank)).alias(f"{c}_within")
+
+    return runs.join(found, "policy").groupBy("policy", "n").agg(within(0.5, "p50"), within(0.95, "p95"))
+
+
 @query("""
 WITH m AS (SELECT * FROM edges WHERE object_id % 10 <> 0), c AS (SELECT * FROM edges WHERE object_id % 15 <> 0)
 SELECT (SELECT count(*) FROM (SELECT filesystem_id, parent_id, name, object_id FROM m EXCEPT SELECT filesystem_id, parent_id, name, object_id FROM c)) AS only_mounted,
@@ -397,7 +410,7 @@ PURGE = policy.Policy("cold", "fs-a", match_tags={"user.tier": "low"}, lru="atim
 PO1_SQL = f"""
 WITH c AS (SELECT * FROM {E_} WHERE {A} AND tier = 'low' ORDER BY atime, object_id LIMIT 2000),
 w AS (SELECT *, row_number() OVER o AS position, CAST(sum(CASE WHEN nlink > 1 THEN 0 ELSE size END) OVER (ORDER BY atime, object_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cumulative FROM c WINDOW o AS (ORDER BY atime, object_id))
-SELECT object_id, size, atime, CAST(position AS INT) AS position, cumulative, CASE WHEN nlink > 1 THEN 'skipped_hardlink' WHEN cumulative > 214748364800 THEN 'over_budget' ELSE 'dispatch' END AS decision FROM w
+SELECT object_id, size, atime, position, cumulative, CASE WHEN nlink > 1 THEN 'skipped_hardlink' WHEN cumulative > 214748364800 THEN 'over_budget' ELSE 'dispatch' END AS decision FROM w
 """
 
 
@@ -406,6 +419,17 @@ def po1_select_candidates(spark, d):
     return policy.select_candidates(entries(spark, d), PURGE).select("object_id", "size", "atime", "position", "cumulative", "decision")
 
 
+@query(f"""
+WITH c AS (SELECT * FROM {E_} WHERE {A} AND kind <> 1),
+w AS (SELECT *, row_number() OVER o AS position, CAST(sum(CASE WHEN nlink > 1 THEN 0 ELSE size END) OVER (ORDER BY mtime, object_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cumulative FROM c WINDOW o AS (ORDER BY mtime, object_id))
+SELECT object_id, position, cumulative, CASE WHEN nlink > 1 THEN 'skipped_hardlink' WHEN cumulative > 5000000000000 THEN 'over_budget' ELSE 'dispatch' END AS decision FROM w
+""")
+def po1_any_count(spark, d):
+    """Candidates without number: budgets as sums over ranges."""
+    p = policy.Policy("all", "fs-a", lru="mtime", max_count=100_000_000, max_volume=5_000_000_000_000, skip_hardlinked=True)
+    return policy.select_candidates(entries(spark, d).filter("kind <> 1"), p).select("object_id", "position", "cumulative", "decision")
+
+
 @query(f"SELECT object_id FROM ({PO1_SQL}) WHERE decision = 'dispatch'".replace("WITH c AS", "WITH c AS"))
 def wi1_byte_budget(spark, d):
     return policy.select_candidates(entries(spark, d), PURGE).filter("decision = 'dispatch'").select("object_id")
