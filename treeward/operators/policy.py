@@ -9,10 +9,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from treeward.functions.columns import kind_label, merged, rendered
+from treeward.functions.columns import kind_label, rendered
 from treeward.sources.schema import KEY
+from treeward.sources.staging import cut
 
 from .prefix import running
+from .apply import unlink
 from .predicate import all_of, cmp, tags, to_column
 
 #: Candidates that one task orders and sums.
@@ -74,7 +76,7 @@ def eligible(kind: str) -> Column:
     return file & F.coalesce(rule, F.lit(False))
 
 
-def select_candidates(entries: DataFrame, policy: Policy, stripes: DataFrame | None = None, low_measure: int | None = None) -> DataFrame:
+def select_candidates(entries: DataFrame, policy: Policy, stripes: DataFrame | None = None, low_measure: int | None = None, retries: DataFrame | None = None) -> DataFrame:
     """The policy's candidates in order, each with its ``position`` and ``decision``.
 
     Matching entries are ordered by the LRU attribute, cut to ``max_count``; then hard
@@ -82,12 +84,16 @@ def select_candidates(entries: DataFrame, policy: Policy, stripes: DataFrame | N
     dispatched until the next one would exceed ``max_volume``: a prefix, not a best
     fit. With ``low_measure``, the measure before the run, dispatch stops once the
     policy's low mark is reached. Skipped rows use no budget. Up to ``FEW`` candidates the
-    count limit leaves rows enough for one task; beyond it sums run over ranges.
+    count limit leaves rows enough for one task; beyond it sums run over ranges. ``retries``, a
+    ``retry_queue``, comes first whatever its age, each with the ``attempt`` that it is due; others have their first.
     """
     if policy.lru is not None and policy.lru not in LRU:
         raise ValueError(f"cannot order by {policy.lru!r}")
     rows = entries.filter((F.col("filesystem_id") == policy.filesystem) & to_column(policy.scope(), stripes=stripes))
     keys = ([policy.lru] if policy.lru else []) + ["object_kind", "object_id"]
+    if retries is not None:
+        rows = rows.join(retries.select(*KEY, (F.col("attempts") + 1).alias("attempt")), list(KEY), "left").withColumn("attempt", F.coalesce("attempt", F.lit(1)))
+        rows, keys = rows.withColumn("_first", F.col("attempt") == 1), ["_first", *keys]
     most = policy.max_count or 10_000
     rows = rows.orderBy(*keys).limit(most) if most <= FEW else rows
     hard = (F.col("nlink") > 1) if policy.skip_hardlinked else F.lit(False)
@@ -105,7 +111,7 @@ def select_candidates(entries: DataFrame, policy: Policy, stripes: DataFrame | N
         decision = decision.when(F.col("cumulative") > policy.max_volume, "over_budget")
     if policy.low is not None and low_measure is not None:
         decision = decision.when(F.lit(low_measure) - (F.col("cumulative") - F.col("size")) <= policy.low, "below_low_mark")
-    return rows.withColumn("decision", decision.otherwise("dispatch")).drop("_skip")
+    return rows.withColumn("decision", decision.otherwise("dispatch")).drop("_skip", "_first")
 
 
 def dry_run(entries: DataFrame, policy: Policy, stripes: DataFrame | None = None) -> DataFrame:
@@ -201,24 +207,33 @@ def final_outcomes(attempts: DataFrame, max_attempts: int = 3) -> DataFrame:
 
 
 def apply_results(entries: DataFrame, edges: DataFrame, results: DataFrame, now: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(entries, edges, removed) after actions ended: the last result is noted, purged objects go.
+    """(entries, edges, removed) after actions ended: the last result of each object is its ``action``.
 
-    ``results`` has the key, ``kind, outcome, at`` and ``attempt``. What ended in
-    success or was already missing loses its entry and its edges if it was a purge.
+    ``results`` has the key, ``kind, outcome, at, attempt`` and, if there are some, ``error`` and ``path``. The
+    record is ``success`` or ``already_missing``, else ``failed`` with its error and whether it may be
+    tried again; it takes the place of the one before, and tags stay as they are. Of what a purge ended
+    or found missing the entry's own name goes: it loses a link, or is removed with its last one.
     """
-    last = results.groupBy(*KEY).agg(F.max_by(F.struct("kind", "outcome", "at"), "attempt").alias("_r"))
+    text = lambda c: F.col(c) if c in results.columns else F.lit(None).cast("string")
+    last = results.groupBy(*KEY).agg(F.max_by(F.struct("kind", "outcome", "at", text("error").alias("error"), text("path").alias("path")), "attempt").alias("_r"))
     ok = F.col("_r.outcome").isin("success", "already_missing")
-    joined = entries.join(last, list(KEY), "left")
-    gone = joined.filter((F.col("_r.kind") == "purge") & ok)
-    state = F.when(ok, "succeeded").otherwise("failed")
-    note = F.create_map(
-        F.lit("action.kind"), F.col("_r.kind"), F.lit("action.state"), state,
-        F.lit("action.retryable"), (F.col("_r.outcome") == "retryable").cast("string"), F.lit("action.updated_at"), F.col("_r.at").cast("string"),
+    failed = ~ok
+    record = F.struct(
+        F.col("_r.kind").alias("kind"), F.when(ok, F.col("_r.outcome")).otherwise("failed").alias("state"), F.when(failed, F.col("_r.error")).alias("error"),
+        F.when(failed, F.col("_r.outcome") == "retryable").alias("retryable"), F.col("_r.path").alias("path"), F.col("_r.at").alias("updated_at"),
     )
-    kept = joined.filter(~F.coalesce((F.col("_r.kind") == "purge") & ok, F.lit(False)))
-    kept = kept.withColumns({"xattr": F.when(F.col("_r").isNull(), F.col("xattr")).otherwise(merged("xattr", note)), "last_seen": F.when(F.col("_r").isNull(), F.col("last_seen")).otherwise(F.lit(now))})
-    edges_left = edges.join(gone.select(*KEY), list(KEY), "left_anti")
-    return kept.select(*entries.columns), edges_left, gone.select(*entries.columns, F.lit(now).alias("rm_time"))
+    noted = entries.join(last, list(KEY), "left")
+    hit = F.col("_r").isNotNull()
+    done = cut(noted.filter((F.col("_r.kind") == "purge") & ok).select("filesystem_id", "parent_id", "name", "object_id"))
+    noted = noted.withColumns({"action": F.when(hit, record).otherwise(F.col("action")), "last_seen": F.when(hit, F.lit(now)).otherwise(F.col("last_seen"))})
+    return unlink(noted.select(*entries.columns), edges, done, now)
+
+
+def retry_queue(results: DataFrame, max_attempts: int = 3) -> DataFrame:
+    """``(key, kind, attempts, error)`` of objects whose last attempt may be repeated, and that have attempts left."""
+    error = F.col("error") if "error" in results.columns else F.lit(None).cast("string")
+    last = results.groupBy(*KEY).agg(F.max_by(F.struct("kind", "outcome", error.alias("error")), "attempt").alias("r"), F.max("attempt").alias("attempts"))
+    return last.filter((F.col("r.outcome") == "retryable") & (F.col("attempts") < max_attempts)).select(*KEY, "r.kind", "attempts", "r.error")
 
 
 # Thresholds ----------------------------------------------------------------------

@@ -171,7 +171,9 @@ def sc8_dump_wide(spark, d):
 @query(f"SELECT {HEX_ID.format(c='object_id')} AS id, {HEX_ID.format(c='parent_id')} AS parent, {HEX_NAME} AS name, size, tier, false AS bad FROM {E_} UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, true FROM {E_}")
 def sc9_restore_wide(spark, d):
     """What was dumped, read back; lines that are cut short are rejected."""
-    lines = catalog.dump(wide_form(entries(spark, d))).select("value")
+    path = scratch(spark)
+    catalog.dump(wide_form(entries(spark, d))).select("value").write.text(path)
+    lines = spark.read.text(path)
     good, bad = catalog.restore(lines.unionByName(lines.select(F.expr("left(value, length(value) - 9)").alias("value"))), wide(ENTRY))
     good = good.select(F.hex("object_id").alias("id"), F.hex("parent_id").alias("parent"), F.hex("name").alias("name"), "size", F.col("xattr")["user.tier"].alias("tier"), F.lit(False).alias("bad"))
     return good.unionByName(bad.select(F.lit(True).alias("bad")), allowMissingColumns=True)
@@ -675,7 +677,7 @@ def po4_validate(spark, d):
 @query(f"""
 SELECT object_id, position, 'rm -f /' || object_id || ' # ' || size || ' {{x}}' AS command, '/backup/' || uid || '/' || printf('%X', object_id) AS destination,
 '{{"filesystem":"fs-a","object":' || object_id || ',"path":"/' || object_id || '","kind":"' || {KIND_SQL} || '","size":' || size || ',"message":"old"}}' AS alert
-FROM (SELECT *, CAST(row_number() OVER (ORDER BY atime, object_id) AS INT) AS position FROM {E_} WHERE {A} AND tier = 'urgent' ORDER BY atime, object_id LIMIT 400)
+FROM (SELECT *, row_number() OVER (ORDER BY atime, object_id) AS position FROM {E_} WHERE {A} AND tier = 'urgent' ORDER BY atime, object_id LIMIT 400)
 """)
 def po6_manifest(spark, d):
     p = policy.Policy("m", "fs-a", match_tags={"user.tier": "urgent"}, lru="atime", max_count=400, command="rm -f {path} # {size} {x}", destination="/backup/{uid}/{fid}", message="old")
@@ -684,12 +686,29 @@ def po6_manifest(spark, d):
 
 
 @query("""
-WITH l AS (SELECT object_id, arg_max(outcome, attempt) AS o FROM action_results GROUP BY object_id)
-SELECT e.object_id, CASE WHEN o IN ('success', 'already_missing') THEN 'removed' WHEN o IS NULL THEN 'untouched' ELSE 'failed' END AS state FROM entries_flat e LEFT JOIN l ON l.object_id = e.object_id WHERE filesystem_id = 'fs-a'
+WITH l AS (SELECT object_id, arg_max(outcome, attempt) AS o, arg_max("at", attempt) AS ts, arg_max(coalesce(error, ''), attempt) AS error FROM action_results GROUP BY object_id)
+SELECT e.object_id, CASE WHEN o IN ('success', 'already_missing') AND nlink <= 1 THEN 'removed' WHEN o IN ('success', 'already_missing') THEN o WHEN o IS NULL THEN 'untouched' ELSE 'failed' END AS state,
+  CASE WHEN o IN ('failed', 'retryable') THEN error END AS error, CASE WHEN o IN ('failed', 'retryable') THEN o = 'retryable' END AS retryable, ts AS updated_at, nlink - CASE WHEN o IN ('success', 'already_missing') AND nlink > 1 THEN 1 ELSE 0 END AS nlink, tier
+FROM entries_flat e LEFT JOIN l ON l.object_id = e.object_id WHERE filesystem_id = 'fs-a'
 """, "action_results")
 def po7_apply_results(spark, d):
     kept, _, gone = policy.apply_results(entries(spark, d, "fs-a"), derived(spark, d, "edges"), derived(spark, d, "action_results"), NOW)
-    return kept.select("object_id", F.coalesce(F.col("xattr")["action.state"], F.lit("untouched")).alias("state")).unionByName(gone.select("object_id", F.lit("removed").alias("state")))
+    record = [F.col(f"action.{c}").alias(c) for c in ("error", "retryable", "updated_at")]
+    state = F.coalesce("action.state", F.lit("untouched"))
+    parts = [t.select("object_id", s.alias("state"), *record, n.alias("nlink"), F.col("xattr")["user.tier"].alias("tier")) for t, s, n in ((kept, state, F.col("nlink")), (gone, F.lit("removed"), F.col("nlink")))]
+    return catalog.union_all(*parts)
+
+
+@query(f"""
+WITH q AS (SELECT object_id, max(attempt) AS attempts FROM action_results WHERE attempt = 1 GROUP BY object_id HAVING max(outcome) = 'retryable'),
+c AS (SELECT e.object_id, size, atime, coalesce(attempts + 1, 1) AS attempt FROM {E_} e LEFT JOIN q ON q.object_id = e.object_id WHERE {A} AND tier = 'low' ORDER BY attempt = 1, atime, e.object_id LIMIT 3000)
+SELECT object_id, attempt, row_number() OVER o AS position, CAST(sum(size) OVER (ORDER BY attempt = 1, atime, object_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cumulative FROM c WINDOW o AS (ORDER BY attempt = 1, atime, object_id)
+""", E_, "action_results")
+def po7_retry_queue(spark, d):
+    """What failed for a while at its first attempt comes first in the next run."""
+    queue = policy.retry_queue(derived(spark, d, "action_results").filter("attempt = 1"))
+    p = policy.Policy("again", "fs-a", match_tags={"user.tier": "low"}, lru="atime", max_count=3000)
+    return policy.select_candidates(entries(spark, d), p, retries=queue).select("object_id", "attempt", "position", "cumulative")
 
 
 @query("""

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treeward.sources.schema import ACTION
+
 #: Names of a text: what it derives, from which tables.
 TEXTS = {
     "entries_flat": (
@@ -106,7 +108,7 @@ LEFT JOIN (SELECT * FROM entries_flat WHERE filesystem_id = 'fs-a' AND depth > 0
         """
 SELECT filesystem_id, object_kind, object_id, 'run' || CAST(object_id % 4 AS VARCHAR(20)) AS run, 'purge' AS kind, a.attempt,
   CASE WHEN object_id % 10 < 5 THEN 'success' WHEN object_id % 10 < 6 THEN 'already_missing' WHEN object_id % 10 < 8 THEN CASE WHEN a.attempt = 2 THEN 'success' ELSE 'retryable' END ELSE 'failed' END AS outcome,
-  mtime + a.attempt AS at
+  mtime + a.attempt AS at, CASE WHEN object_id % 10 BETWEEN 6 AND 9 AND NOT (object_id % 10 < 8 AND a.attempt = 2) THEN 'error ' || CAST(object_id % 7 AS VARCHAR(20)) END AS error
 FROM entries_flat e JOIN (SELECT 1 AS attempt UNION ALL SELECT 2) a ON a.attempt = 1 OR object_id % 10 IN (6, 7)
 WHERE filesystem_id = 'fs-a' AND depth = 4 AND object_id % 20 < 12
 """,
@@ -165,7 +167,7 @@ def entries(spark: SparkSession, sf_dir: str, filesystem: str | None = None) ->
     if filesystem:
         df = df.filter(F.col("filesystem_id") == filesystem)
     tags = F.when(F.col("tier").isNotNull(), F.create_map(F.lit("user.tier"), F.col("tier")))
-    none = {"hsm_last_op": F.lit(None).cast("string"), "hsm_last_event_ts": F.lit(None).cast("long"), "hsm_last_error": F.lit(None).cast("long")}
+    none = {"hsm_last_op": F.lit(None).cast("string"), "hsm_last_event_ts": F.lit(None).cast("long"), "hsm_last_error": F.lit(None).cast("long"), "action": F.lit(None).cast(ACTION)}
     return df.withColumns({**none, "xattr": F.coalesce(tags, F.expr("map()").cast("map<string,string>"))}).drop("tier")
 
 

@@ -11,10 +11,12 @@ def _table(**columns: T.DataType) -> T.StructType:
 
 KEY = ("filesystem_id", "object_kind", "object_id")
 
+#: What the last action on an entry came to; ``path`` is where an alert or a backup found it.
+ACTION = _table(kind=S, state=S, error=S, retryable=B, path=S, updated_at=L)
 ENTRY = _table(
     filesystem_id=S, object_kind=T.IntegerType(), object_id=L, parent_id=L, name=S, kind=T.IntegerType(), size=L, blocks=L,
     uid=L, gid=L, projid=L, mode=L, nlink=L, atime=L, mtime=L, ctime=L, last_seen=L, stripe_count=T.IntegerType(), stripe_size=L,
-    pool_name=S, depth=L, hsm_state=S, hsm_dirty=B, hsm_last_op=S, hsm_last_event_ts=L, hsm_last_error=L, xattr=T.MapType(S, S),
+    pool_name=S, depth=L, hsm_state=S, hsm_dirty=B, hsm_last_op=S, hsm_last_event_ts=L, hsm_last_error=L, action=ACTION, xattr=T.MapType(S, S),
 )
 EDGE = _table(filesystem_id=S, object_kind=T.IntegerType(), parent_id=L, name=S, object_id=L)
 STRIPE = _table(filesystem_id=S, object_kind=T.IntegerType(), object_id=L, stripe_index=L, ost_index=L)
