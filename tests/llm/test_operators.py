@@ -37,6 +37,13 @@ def test_query_equals_sql(spark, name):
     same(spark, queries.QUERIES[name], queries.SQL[name], SMALL)
 
 
+def test_null_conversation_is_formatted_like_others(spark):
+    rows = [(None, 0, "user", "a"), (None, 1, "assistant", "b#"), (1, 0, "user", "c"), (1, None, "system", None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = {r.tree: [tuple(t) for t in r.turns] for r in chat.read_back(chat.formatted(chat.linear(df))).collect()}
+    assert out == {None: [("user", "a"), ("assistant", "b#")], 1: [("system", ""), ("user", "c")]}
+
+
 # Components ----------------------------------------------------------------------
 
 

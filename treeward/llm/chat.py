@@ -57,7 +57,7 @@ def best_paths(nodes: DataFrame, top: int = 1) -> DataFrame:
     ``nodes`` has ``tree, node, parent, score``, ``node`` unique in its tree. A
     path's score is the mean of its nodes'; ties go to the longer path, then the
     smaller leaf. A parent that is missing makes its child a root. Nodes on a cycle
-    reach no root and are left out.
+    reach no root and are left out, and so are nodes of a null tree, which ``formatted`` keeps.
     """
     base = nodes.select("tree", "node", "parent", "score")
     known = base.select("tree", F.col("node").alias("parent")).withColumn("has", F.lit(True))
@@ -99,8 +99,11 @@ def formatted(nodes: DataFrame, top: int = 1, learn_role: str = "assistant") ->
     ``formatted`` holds the turns in order, ``### role: text</turn>`` and a newline
     each, with marks inside texts escaped. ``loss_spans`` says what the loss covers:
     for each turn of ``learn_role`` the turn's number from 0, and the start and length
-    of its text in characters of that turn. Null texts and roles count as empty.
+    of its text in characters of that turn. Null texts and roles count as empty, and a null
+    tree is one like others.
     """
+    # A struct of a null equals itself, so joins find it.
+    nodes = nodes.withColumn("tree", F.struct(F.col("tree").alias("key")))
     rows = best_paths(nodes, top).join(nodes.select("tree", "node", "role", "text"), ["tree", "node"])
     made = segment(F.col("role"), F.col("text"))
     size = F.length(escape(F.col("text")))
@@ -112,7 +115,7 @@ def formatted(nodes: DataFrame, top: int = 1, learn_role: str = "assistant") ->
         lambda x: F.struct(x["turn"].alias("turn"), x["start"].alias("start"), x["length"].alias("length")),
     )
     text = F.array_join(F.transform("turns", lambda x: x["made"]), "")
-    return paths.select("tree", "leaf", "rank", text.alias("formatted"), spans.alias("loss_spans"))
+    return paths.select(F.col("tree.key").alias("tree"), "leaf", "rank", text.alias("formatted"), spans.alias("loss_spans"))
 
 
 def read_back(out: DataFrame) -> DataFrame:
