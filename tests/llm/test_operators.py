@@ -483,6 +483,34 @@ def test_word_hashes_of_segments():
 # Licenses ------------------------------------------------------------------------
 
 
+def test_every_notice_gets_its_own_name():
+    """All notices by exhaustive containment over every window of their length, also damaged, among near ones."""
+    rng = random.Random(12)
+    t = licenses.Templates()
+    sets = [set(g.tolist()) for g in t.sets]
+    texts, want = [], []
+    for k, (_, notice) in enumerate(licenses.NOTICES):
+        for damage in (0, 1, 2, 5):
+            words = notice.split(" ")
+            for _ in range(damage * len(words) // 20):
+                words[rng.randrange(len(words))] = rng.choice(WORDS)
+            texts.append(f"{prose(rng, rng.randrange(40))} {' '.join(words)} {prose(rng, 30)}")
+            grams = wordhash.ngrams(wordhash.word_hashes(texts[-1]), licenses.SHINGLE).tolist()
+            held = {}
+            for name, own in zip(t.names, sets, strict=True):
+                size = 5 * len(own) // 4 + 1
+                share = max(len(own & set(grams[i : i + size])) for i in range(max(1, len(grams) - size + 1))) / len(own)
+                held[name] = max(share, held.get(name, 0))
+            top = max(held.values())
+            # Who is found must hold enough and as much as any other.
+            want.append({n for n, s in held.items() if s == top} if top >= 0.8 else set())
+            assert damage or want[-1] == {t.names[k]}
+    got = {}
+    for i, name, *_ in t.scan(texts):
+        got.setdefault(i, set()).add(name)
+    assert all(bool(got.get(i)) == bool(w) and len(got.get(i, ())) <= 1 and got.get(i, set()) <= w for i, w in enumerate(want))
+
+
 def test_licenses(spark):
     rng = random.Random(14)
     notice = licenses.NOTICES[1][1]

@@ -8,7 +8,8 @@ the template's shingles are among its own.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,19 @@ NOTICES = (
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC0-1.0", "To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or neighboring rights to this work."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
 )
 SHINGLE = 5
 BANDS = 32
@@ -115,7 +129,7 @@ class Templates:
                         k = int(np.searchsorted(ends, start, "right"))
                         base = start - int(ends[k] - len(grams[own[k]]))
                         rows.append((at + own[k], self.names[t], base + held[1], base + held[2] + SHINGLE, held[0]))
-                yield from merged(rows)
+                yield from best(merged(rows))
             at = to
 
 
@@ -133,11 +147,21 @@ def merged(rows: list[tuple[int, str, int, int, float]]) -> Iterator[tuple[int,
         yield now
 
 
+def best(rows: Iterable[tuple[int, str, int, int, float]]) -> Iterator[tuple[int, str, int, int, float]]:
+    """Of finds of different licenses that overlap in a text the one with the highest containment, then the longest, then the first name."""
+    for _, own in groupby(rows, key=lambda r: r[0]):
+        kept: list[tuple[int, str, int, int, float]] = []
+        for r in sorted(own, key=lambda r: (-r[4], r[2] - r[3], r[1])):
+            if all(r[3] <= k[2] or k[3] <= r[2] for k in kept):
+                kept.append(r)
+        yield from sorted(kept, key=lambda r: r[2])
+
+
 def license_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", notices=NOTICES, contain: float = 0.8) -> DataFrame:
     """``(doc_id, license, start_word, end_word, containment)``: the notices in each whole text.
 
     Shingles have five words, compared without case and punctuation; a find holds at
-    least ``contain`` of a notice's shingles. Word numbers count from 0, the end
+    least ``contain`` of a notice's shingles, and of overlapping finds the best is the license. Word numbers count from 0, the end
     excluded. Null, empty and short texts hold none; repeated rows are each scanned;
     other columns are ignored.
     """
