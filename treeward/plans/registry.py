@@ -272,11 +272,11 @@ def jo5_fan_out(spark, d):
     return reports.fan_out_stripes(s.drop("filesystem_id"), entries(spark, d), there).select(*ID, "stripe_index", "ost_index")
 
 
-@query("SELECT p.parent_id, p.name, e.object_id FROM (SELECT parent_id, name FROM edges WHERE filesystem_id = 'fs-a' AND object_id % 3 = 0 UNION ALL SELECT parent_id, name || '?' FROM edges WHERE filesystem_id = 'fs-a' AND object_id % 7 = 0) p LEFT JOIN edges e ON e.filesystem_id = 'fs-a' AND e.parent_id = p.parent_id AND e.name = p.name", "edges")
+@query("SELECT p.parent_id, p.name, e.object_id FROM (SELECT parent_id, name FROM edges WHERE filesystem_id = 'fs-a' UNION ALL SELECT parent_id, name || '?' FROM edges WHERE filesystem_id = 'fs-a') p LEFT JOIN edges e ON e.filesystem_id = 'fs-a' AND e.parent_id = p.parent_id AND e.name = p.name", "edges")
 def jo6_lookup_child(spark, d):
     g = derived(spark, d, "edges")
     mine = g.filter("filesystem_id = 'fs-a'")
-    probes = mine.filter("object_id % 3 = 0").select("filesystem_id", "parent_id", "name").unionByName(mine.filter("object_id % 7 = 0").select("filesystem_id", "parent_id", F.concat("name", F.lit("?")).alias("name")))
+    probes = mine.select("filesystem_id", "parent_id", "name").unionByName(mine.select("filesystem_id", "parent_id", F.concat("name", F.lit("?")).alias("name")))
     return reports.lookup_children(g, probes).select("parent_id", "name", "object_id")
 
 
