@@ -483,6 +483,19 @@ def test_word_hashes_of_segments():
 # Licenses ------------------------------------------------------------------------
 
 
+def test_bpe_equals_the_library_on_every_character():
+    import unicodedata
+
+    import tokenizers
+
+    library, own = tokenizers.Tokenizer.from_file(queries.vocabulary()), bpe.load(queries.vocabulary())
+    for start in range(0, 0x110000, 0x8000):
+        texts = [f"b{chr(c)}b {chr(c)}{chr(c)} {chr(c)}1" for c in range(start, start + 0x8000) if unicodedata.category(chr(c)) not in ("Cs", "Co")]
+        if texts:
+            want = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+            assert [ids for ids, _ in own.encode_all(texts)] == want
+
+
 def test_every_notice_gets_its_own_name():
     """All notices by exhaustive containment over every window of their length, also damaged, among near ones."""
     rng = random.Random(12)

@@ -36,6 +36,19 @@ END = "</w>"
 #: The same for texts of Latin-1 characters, in which it is faster.
 SPLIT_LATIN = r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zªµºÀ-ÖØ-öø-ÿ]+|[0-9²³¹¼-¾]|[^\t-\r \x85\xa0A-Za-zªµºÀ-ÖØ-öø-ÿ0-9²³¹¼-¾]+"
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
+#: Characters that newer Unicode tables call letters or numbers, and the library's do not, in hexadecimal.
+NEWER = (
+    "558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 "
+    "10ED9-10EEE 11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF3 "
+    "16FF4-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 "
+    "1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F "
+    "2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F "
+)
+#: Capitals that Python's tables do not know, the first and the last of a range, and how far off the small letter is.
+CAPITALS = (
+    (0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, -42343), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1),
+    (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, -42561), (0x10D50, 0x10D65, 32), (0x16EA0, 0x16EB8, 27),
+)
 NEVER = np.int64(1) << 40
 
 
@@ -46,6 +59,11 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+def newer() -> str:
+    """``NEWER`` as the inside of a character class."""
+    return "".join("-".join(f"\\U{int(x, 16):08X}" for x in r.split("-")) for r in NEWER.split())
+
+
 class Bpe:
     """Vocabulary, merge table and a bounded cache of words that were encoded.
 
@@ -91,6 +109,11 @@ class Bpe:
         self.longest.add_word("\n", -1)
         self.longest.make_automaton()
         self.split = regex.compile(SPLIT)
+        self.capitals = {c: c + by for first, last, by in CAPITALS for c in range(first, last + 1)}
+        self.rare = regex.compile(f"[{newer()}{''.join(map(chr, self.capitals))}]")
+        known = {k: rf"[\p{{{k}}}--[{newer()}]]" for k in "LN"}
+        rare = SPLIT.replace(r"[\p{L}]", known["L"]).replace(r"[\p{N}]", known["N"])
+        self.split_rare = regex.compile(rare.replace(r"[^\p{White_Space}\p{L}\p{N}]", rf"[^\p{{White_Space}}{known['L']}{known['N']}]"), regex.V1)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.split_latin = re.compile(SPLIT_LATIN)
         self.limit = cache
@@ -228,7 +251,9 @@ class Bpe:
                 if part.isascii() or max(part) <= "\xff":
                     out += self.split_latin.findall(part.lower())
                 else:
-                    out += self.split.findall(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower())
+                    part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
+                    rare = self.rare.search(part) is not None
+                    out += (self.split_rare if rare else self.split).findall((part.translate(self.capitals) if rare else part).lower())
         return out
 
     def encode_all(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
