@@ -122,7 +122,8 @@ def key_components(rows: DataFrame, verify, close, facts_of) -> DataFrame:
     keys = rows.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n")).filter("a < b")
     keys = staged(keys, "keys")
     full = keys.filter("n > 2").select("key", F.col("a").alias("hub"))
-    members = staged(rows.join(F.broadcast(full) if full.count() <= 25_000 else full, "key").distinct(), "members")
+    # A merge at any size: what the full keys are in a small corpus says nothing of a large one.
+    members = staged(rows.join(full.hint("merge"), "key").distinct(), "members")
     ids = keys.select("a").union(keys.select("b")).union(members.select("id")).toDF("id").distinct()
     facts = staged(facts_of(staged(ids, "ids")), "facts")
     other = facts.toDF(*(f"{c}_b" for c in facts.columns))
