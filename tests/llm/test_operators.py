@@ -176,6 +176,36 @@ def test_near_copies_equal_brute_force(spark):
     assert copies.near_copies(docs(spark, [])).count() == 0
 
 
+def test_blocks_of_fingerprints_find_near_sets():
+    """SimHashes, bit by bit, and their blocks at a Jaccard similarity of 0.8."""
+    rng = np.random.default_rng(5)
+    own = np.unique(rng.integers(0, 1 << 63, 37, dtype=np.uint64))
+    mask, want = (1 << 64) - 1, []
+    for part in range(1, copies.PARTS + 1):
+        mixed = []
+        for x in map(int, own):
+            z = (x + part * 0x9E3779B97F4A7C15) & mask
+            z = ((z ^ (z >> 30)) * 0xBF58476D1CE4E5B9) & mask
+            z = ((z ^ (z >> 27)) * 0x94D049BB133111EB) & mask
+            mixed.append(z ^ (z >> 31))
+        want.append(sum(1 << b for b in range(64) if 2 * sum(z >> b & 1 for z in mixed) > len(mixed)))
+    # The bytes keep their places; the bits of a byte may be turned round.
+    turned = [sum((x >> (8 * (b // 8) + 7 - b % 8) & 1) << b for b in range(64)) for x in want]
+    assert copies.fingerprint(own).tolist() in (want, turned)
+    places, found, far = copies.choices(200_000), 0, 0
+    for k in range(600):
+        n = int(rng.integers(20, 400))
+        a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        b = np.concatenate([a[n // 9 :], rng.integers(0, 1 << 63, n // 9, dtype=np.uint64)])
+        c = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        prints = np.stack([copies.fingerprint(x) for x in (a, b, c)])
+        keys = copies.blocks(prints, places)
+        differ = int(prints[0, 0] ^ prints[1, 0]).bit_count()
+        found += bool((keys[0] == keys[1]).any()) and differ <= copies.DIFFER
+        far += bool((keys[0] == keys[2]).any()) and int(prints[0, 0] ^ prints[2, 0]).bit_count() <= copies.DIFFER
+    assert found >= 0.985 * 600 and far <= 1, (found, far)
+
+
 # Lines ---------------------------------------------------------------------------
 
 
