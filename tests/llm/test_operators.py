@@ -381,6 +381,15 @@ def test_long_and_repeated_conversations(spark):
     assert len(got[2].turns) == 2 and [(t.role, t.text) for t in got[3].turns] == [("", "")]
 
 
+def test_no_paths_through_the_driver(spark):
+    """Tables of nodes are small as files however many rows they have, so they are not broadcast."""
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"t{t}") for c in range(20) for t in range(9)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat.formatted(chat.linear(turns))
+    assert out.count() == 20
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 # BPE -----------------------------------------------------------------------------
 
 

@@ -39,6 +39,11 @@ def segment(role: Column, text: Column) -> Column:
     return F.concat(F.lit(HEAD), escape_role(role), F.lit(MID), escape(text), F.lit(TAIL))
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """A hint to join by shuffle: numbers of nodes take so little room in files that Spark would send many rows through the driver."""
+    return df.hint("merge")
+
+
 def linear(turns: DataFrame, tree: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """Conversations as trees without branches: ``(tree, node, parent, role, text, score)``.
 
@@ -60,7 +65,7 @@ def best_paths(nodes: DataFrame, top: int = 1) -> DataFrame:
     reach no root and are left out, and so are nodes of a null tree, which ``formatted`` keeps.
     """
     base = nodes.select("tree", "node", "parent", "score")
-    known = base.select("tree", F.col("node").alias("parent")).withColumn("has", F.lit(True))
+    known = merged(base.select("tree", F.col("node").alias("parent")).withColumn("has", F.lit(True)))
     links = base.join(known, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("has"), F.col("parent")).alias("jump"), "score")
     start = links.select("tree", "node", "jump", F.lit(1).cast("long").alias("steps"), F.col("score").cast("double").alias("total"))
     now = staged(start, "hops-0")
@@ -68,7 +73,7 @@ def best_paths(nodes: DataFrame, top: int = 1) -> DataFrame:
     ends, hops, limit = now.filter("jump IS NULL"), [now.filter("jump IS NOT NULL")], now.count()
     while not hops[-1].isEmpty() and 2 ** (len(hops) - 1) <= limit:
         far = hops[-1].unionByName(ends).toDF("tree", "jump", "jump2", "steps2", "total2")
-        now = hops[-1].join(far, ["tree", "jump"]).select(
+        now = hops[-1].join(merged(far), ["tree", "jump"]).select(
             "tree",
             "node",
             F.col("jump2").alias("jump"),
@@ -79,7 +84,7 @@ def best_paths(nodes: DataFrame, top: int = 1) -> DataFrame:
         ends = ends.unionByName(now.filter("jump IS NULL"))
         hops.append(now.filter("jump IS NOT NULL"))
     parents = hops[0].select("tree", F.col("jump").alias("node")).distinct()
-    leaves = ends.join(parents, ["tree", "node"], "left_anti")
+    leaves = ends.join(merged(parents), ["tree", "node"], "left_anti")
     order = Window.partitionBy("tree").orderBy(F.desc(F.col("total") / F.col("steps")), F.desc("steps"), "node")
     chosen = leaves.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
     path = staged(chosen.select("tree", F.col("node").alias("leaf"), "rank", "node"), "chosen")
@@ -87,10 +92,10 @@ def best_paths(nodes: DataFrame, top: int = 1) -> DataFrame:
     # going through the pointers from far to near, each adds the other half of the path.
     for hop in reversed(hops[:-1]):
         up = hop.select("tree", "node", "jump")
-        path = path.unionByName(path.join(up, ["tree", "node"]).select("tree", "leaf", "rank", F.col("jump").alias("node")))
+        path = path.unionByName(path.join(merged(up), ["tree", "node"]).select("tree", "leaf", "rank", F.col("jump").alias("node")))
         path = staged(path.distinct(), "path")
     depths = ends.select("tree", "node", F.col("steps").alias("depth"))
-    return path.join(depths, ["tree", "node"]).select("tree", "leaf", "rank", "node", "depth")
+    return path.join(merged(depths), ["tree", "node"]).select("tree", "leaf", "rank", "node", "depth")
 
 
 def formatted(nodes: DataFrame, top: int = 1, learn_role: str = "assistant") -> DataFrame:
@@ -104,7 +109,7 @@ def formatted(nodes: DataFrame, top: int = 1, learn_role: str = "assistant") ->
     """
     # A struct of a null equals itself, so joins find it.
     nodes = nodes.withColumn("tree", F.struct(F.col("tree").alias("key")))
-    rows = best_paths(nodes, top).join(nodes.select("tree", "node", "role", "text"), ["tree", "node"])
+    rows = best_paths(nodes, top).join(merged(nodes.select("tree", "node", "role", "text")), ["tree", "node"])
     made = segment(F.col("role"), F.col("text"))
     size = F.length(escape(F.col("text")))
     start = F.length(made) - size - len(TAIL)
