@@ -254,6 +254,21 @@ def test_lines_equal_brute_force(spark):
     assert got == want
 
 
+def test_long_lines_of_one_passage_are_told_apart(spark):
+    """Sets of words, not the shared passage alone, say which long lines are compared."""
+    rng = random.Random(23)
+    passage = [f"passage{k}" for k in range(8)]
+    own = [[f"{rng.getrandbits(40):x}" for _ in range(40)] for _ in range(6)]
+    own.append([*own[0][:-4], "a", "b", "c", "d"])
+    texts = [" ".join(passage + x) for x in own]
+    rows = lines.with_rid(docs(spark, texts), "doc_id", "text")
+    prints = lines.line_prints(rows, 1, 0.8)
+    facts = common.staged(lines.line_texts(rows, prints, prints.select(F.col("key").alias("id"))), "facts")
+    other = facts.toDF(*(f"{c}_b" for c in facts.columns))
+    pairs = facts.crossJoin(other).filter("id < id_b").filter(lines.alike(0.8)(F.col, lambda c: F.col(f"{c}_b")))
+    assert facts.count() == 7 and pairs.count() == 1
+
+
 def test_very_long_lines(spark):
     rng = random.Random(12)
     many = " ".join(f"{rng.getrandbits(60):015x}" for _ in range(200_000))
