@@ -269,6 +269,38 @@ def test_long_lines_of_one_passage_are_told_apart(spark):
     assert facts.count() == 7 and pairs.count() == 1
 
 
+def test_small_groups_meet_once_and_large_ones_lose_no_link(spark):
+    """All pairs of four ids are tried in one search; ids that share more find every link, and the hubs' pairs do not come back."""
+    rng = random.Random(29)
+    own = [rng.getrandbits(62) for _ in range(60)]
+    at = {x: k for k, x in enumerate(own)}
+    rows = [(key, x) for key in (1, 2, 3) for x in own[:4]] + [(key, x) for key in (4,) for x in own[4:]]
+    place = spark.createDataFrame(list(at.items()), "id long, place long")
+    seen = []
+
+    def facts_of(ids):
+        return place.join(ids, "id", "left_semi")
+
+    def linked(x, y):
+        return {x, y} <= set(range(4, 60)) and abs(x - y) == 7
+
+    def verify(pairs):
+        got = [(r.a, r.b) for r in pairs.collect()]
+        seen.append(got)
+        return spark.createDataFrame([p for p in got if linked(at[p[0]], at[p[1]])], "a long, b long")
+
+    close = lambda a, b: F.abs(a("place") - b("place")) <= 20
+    small = common.key_components(spark.createDataFrame(rows[:12], "key long, id long"), verify, close, facts_of)
+    assert small.count() == 0 and [len(x) for x in seen] == [6]
+    seen.clear()
+    got = common.key_components(spark.createDataFrame(rows, "key long, id long"), verify, close, facts_of).collect()
+    groups = {}
+    for r in got:
+        groups.setdefault(r.component, set()).add(at[r.id])
+    assert sorted(map(sorted, groups.values())) == sorted(sorted(range(k, 60, 7)) for k in range(4, 11))
+    assert len(seen) == 2 and not set(seen[0]) & set(seen[1])
+
+
 def test_very_long_lines(spark):
     rng = random.Random(12)
     many = " ".join(f"{rng.getrandbits(60):015x}" for _ in range(200_000))
