@@ -142,6 +142,23 @@ def test_unrelated_fingerprints_of_one_block(spark):
     assert len(near) >= 20 and got == find_groups(near)
 
 
+def test_no_blocks_through_the_driver(spark, monkeypatch):
+    """Twenty rows come of a fingerprint, and Spark sizes them as one: they are not broadcast, nor rows that meet each other."""
+    plans = {}
+
+    def planned(df, name):
+        plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+        return common.staged(df, name)
+
+    monkeypatch.setattr(simhash, "staged", planned)
+    rng = random.Random(3)
+    fps = list({rng.getrandbits(12) << rng.choice((0, 20, 40)) for _ in range(300)})
+    nodes = spark.createDataFrame([(i, f) for i, f in enumerate(fps)], "id long, fp long").localCheckpoint()
+    simhash.near_components(nodes)
+    assert {"members", "grouped", "rest"} <= plans.keys()
+    assert not [name for name, plan in plans.items() if "Broadcast" in plan]
+
+
 def test_simhash_empty_and_repeated(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
     twice = docs(spark, ["a b c d", "e f g h"]).unionByName(docs(spark, ["a b c d"]))

@@ -121,8 +121,10 @@ def near_components(
     keys = block_keys(nodes, masks).groupBy("key").agg(*sums).filter((F.col("n") > 2) | ((F.col("n") == 2) & (F.bit_count("apart") <= differ)))
     keys = staged(keys, "keys")
     full = keys.filter("n > 2").select("key", F.col("a").alias("hub"))
-    full = full.join(nodes.select(F.col("id").alias("hub"), F.col("fp").alias("hub_fp")), "hub")
-    members = staged(block_keys(nodes, masks).join(full, "key"), "members")
+    full = full.hint("merge").join(nodes.select(F.col("id").alias("hub"), F.col("fp").alias("hub_fp")), "hub")
+    # Spark sizes exploded rows as the table below them, and tables of repeated numbers by their files: both look small
+    # enough to be broadcast long after they are too large for the driver, so these joins name another way.
+    members = staged(block_keys(nodes, masks).hint("merge").join(full, "key"), "members")
 
     def checked(pairs: DataFrame) -> DataFrame:
         pairs = pairs.filter("a != b").distinct()
@@ -133,7 +135,7 @@ def near_components(
     groups = components(links)
     if members.isEmpty():
         return groups
-    members = members.select("key", "id", "fp").distinct().join(groups, "id", "left")
+    members = members.select("key", "id", "fp").distinct().hint("merge").join(groups, "id", "left")
     members = staged(members.withColumn("component", F.coalesce("component", "id")), "grouped")
     # Members of a key agree in half of their bits. Shares of all bits, one in so many, tell
     # them apart anew: pairs meet only if they agree in some of these as well.
@@ -141,9 +143,9 @@ def near_components(
     shares = [signed(reduce(int.__or__, c)) for c in combinations(shares, 2)]
     open_keys = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
     parts = F.array(*(F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(shares)))
-    rest = staged(members.join(open_keys, "key").withColumn("part", F.explode(parts)), "rest")
+    rest = staged(members.hint("merge").join(open_keys, "key").withColumn("part", F.explode(parts)), "rest")
     other = rest.toDF(*(f"{c}_b" for c in rest.columns))
-    across = rest.join(
+    across = rest.hint("merge").join(
         other,
         (rest["key"] == other["key_b"])
         & (rest["part"] == other["part_b"])
