@@ -401,6 +401,15 @@ def test_batch_unlinks_before_rename(spark):
     assert got == plain_batch(entries, edges, ev)
 
 
+def test_batch_of_links_that_fail(spark):
+    """A link onto a taken name changes nothing: who took the name first may free it, and the next link gets it."""
+    entries, edges = {4: (2, "a", 1), 5: (2, "b", 1), 6: (2, "c", 1)}, {(2, "a"): 4, (2, "b"): 5, (2, "c"): 6}
+    ev = [event(i, what, o, (1, "lock")) for i, (what, o) in enumerate([("hardlinked", 4), ("hardlinked", 5), ("unlinked", 5), ("unlinked", 4), ("hardlinked", 6), ("hardlinked", 4)])]
+    got = batch_result(spark, entries, edges, ev)
+    assert got == ({4: (2, "a", 1), 5: (2, "b", 1), 6: (2, "c", 2)}, edges | {(1, "lock"): 6}, {})
+    assert got == plain_batch(entries, edges, ev)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_batch_equals_plain_loop(spark, seed):
     rng = random.Random(seed)
