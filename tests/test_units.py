@@ -206,6 +206,46 @@ def test_subtree(spark):
     assert values(namespace.directory_sizes(df, "a"), "object_id", "n", "bytes") == [(1, 5, 6000), (3, 3, 5000)]
 
 
+def brute_totals(rows):
+    """Below each object, itself included, the rows and bytes of all objects that parents lead back to it."""
+    kids, own, out = {}, {}, {}
+    for o, parent, size in rows:
+        kids.setdefault(parent, set()).add(o)
+        own.setdefault(o, []).append(size)
+    for o in own:
+        inside, todo = {o}, [o]
+        while todo:
+            new = kids.get(todo.pop(), set()) - inside
+            inside |= new
+            todo += new
+        out[o] = (sum(len(own[x]) for x in inside), sum(sum(own[x]) for x in inside))
+    return sorted((o, *v) for o, v in out.items())
+
+
+@pytest.mark.parametrize("tangled", [False, True])
+def test_totals_below_equal_brute_force(spark, tangled):
+    """Trees, chains, rings with trees on them, an object that is its own parent, parents that are not there; several parents."""
+    rng = random.Random(9)
+    rows = [(o, rng.choice([None, *range(1, 70)]), rng.randrange(100)) for o in range(1, 60)] + [(80, 80, 5), (81, 80, 6), (82, 81, 7)]
+    rows += [(100 + i, 99 + i if i else 99, 1) for i in range(8)]
+    if tangled:
+        rows += [(o, rng.randrange(1, 60), 1) for o in (3, 7, 30)]
+    df = entry_rows(spark, *({"object_id": o, "parent_id": p, "size": s} for o, p, s in rows))
+    assert values(namespace.totals_below(df), "object_id", "n", "bytes") == sorted(brute_totals(rows), key=repr)
+
+
+def test_sizes_of_folders_make_no_pairs(spark, monkeypatch):
+    """``du`` of every path of a tree adds level by level and pairs no folder with what lies below it."""
+    monkeypatch.delattr(namespace, "subtree_members")
+    rows = [(1, None, 1), (2, 1, 2), (3, 2, 4), (4, 2, 8), (5, 1, 16)]
+    names = {2: "a", 3: "x", 4: "y", 5: "b"}
+    df = entry_rows(spark, *({"object_id": o, "parent_id": p, "size": s, "name": names.get(o, "")} for o, p, s in rows))
+    edges = df.filter("parent_id IS NOT NULL").select("filesystem_id", "parent_id", "name", "object_id")
+    paths = spark.createDataFrame([(f"/m{x}",) for x in ("", "/", "/a", "/a//x", "/a/y/", "/b", "/b", "/c", "/a/x/q", "/../b")], "path string")
+    got = values(namespace.du(df, edges, paths, "a", 1, "/m"), "path", "n", "bytes")
+    assert got == [("/m", 5, 31), ("/m/", 5, 31), ("/m/a", 3, 14), ("/m/a//x", 1, 4), ("/m/a/y/", 1, 8), ("/m/b", 1, 16), ("/m/b", 1, 16)]
+
+
 def test_paths(spark):
     df, edges = tree(spark)
     more = spark.createDataFrame([("a", 0, 1, "hard", 4), ("a", 0, 99, "lost", 6), ("a", 0, 8, "r", 9), ("a", 0, 9, "r", 8), ("a", 0, 8, "leaf", 10)], edges.schema)
